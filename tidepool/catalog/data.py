@@ -101,3 +101,15 @@ class Registry:
                 self.sql[name] = sql
             return fn
         return wrap
+
+
+def orders2d(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as 2-d points: price and day."""
+    o = table(spark, sf, "orders")
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    return o.select(F.array(F.col("o_totalprice") / 65536, day / 512.0).alias("x"))
+
+
+ORDERS2D = """orders2d AS (
+  SELECT o_totalprice / 65536 AS x0, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 512.0::DOUBLE AS x1
+  FROM orders)"""
