@@ -197,7 +197,7 @@ def dbscan_init(spark, sf):
 # ---- density grid ----------------------------------------------------------------------------------
 
 GAPS = [0.1, 0.25, 0.25]
-GRID = dstream.DStreamParams(gaps=tuple(GAPS), lam=0.998, cm=118.0, cl=95.0)
+GRID = dstream.DStreamParams(gaps=tuple(GAPS), lam=0.998, cm=190.0, cl=38.0)
 
 CELLS = f"""pc AS (SELECT CAST(trunc(x0 / {GAPS[0]}) AS INTEGER) AS i, CAST(trunc(x1 / {GAPS[1]}) AS INTEGER) AS j,
   CAST(trunc(x2 / {GAPS[2]}) AS INTEGER) AS k, t // 365 AS tick FROM items),

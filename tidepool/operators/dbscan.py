@@ -26,6 +26,7 @@ from tidepool.operators.rows import number_rows
 from tidepool.session import LIMITS, Limits, cut_lineage, width_of
 
 GRID_DIMS = 4
+DIRECT_PAIRS = 10_000_000
 
 
 # ---- blocked kernels, any dimension ---------------------------------------------------------
@@ -241,7 +242,7 @@ def _cluster_cells(spots, eps, mu, d):
 def _boxes(core, side, level, d):
     fine = side / (1 << level)
     return (core.withColumn("sub", _cell("x", fine, d)).groupBy("cell", "sub").agg(
-        F.min("x").alias("rep"), F.array(*[F.min(F.col("x")[j]) for j in range(d)]).alias("lo"),
+        F.count("*").alias("k"), F.min("x").alias("rep"), F.array(*[F.min(F.col("x")[j]) for j in range(d)]).alias("lo"),
         F.array(*[F.max(F.col("x")[j]) for j in range(d)]).alias("hi")))
 
 
@@ -250,7 +251,8 @@ def _linked_cells(core, near, side, eps2, d):
 
     Boxes around the positions decide most pairs at once: too far apart, all close, or their
     representatives close.  Only undecided boxes are halved and compared again, so two crowded
-    cells cost their facing surface, not the product of their sizes.
+    cells cost their facing surface, not the product of their sizes.  Once the undecided boxes
+    hold few enough position pairs (checked), these are compared directly.
     """
     open_pairs = near.select(F.col("cell").alias("a"), F.col("ncell").alias("b"),
                              F.col("cell").alias("sa"), F.col("ncell").alias("sb"))
@@ -259,9 +261,9 @@ def _linked_cells(core, near, side, eps2, d):
         live = open_pairs.select(F.col("a").alias("cell")).unionByName(
             open_pairs.select(F.col("b").alias("cell"))).distinct()
         boxes = _boxes(core.join(live, "cell", "left_semi"), side, level, d)
-        left = boxes.select(F.col("cell").alias("a"), F.col("sub").alias("sa"), F.col("rep").alias("ra"),
+        left = boxes.select(F.col("cell").alias("a"), F.col("sub").alias("sa"), F.col("k").alias("ka"), F.col("rep").alias("ra"),
                             F.col("lo").alias("la"), F.col("hi").alias("ha"))
-        right = boxes.select(F.col("cell").alias("b"), F.col("sub").alias("sb"), F.col("rep").alias("rb"),
+        right = boxes.select(F.col("cell").alias("b"), F.col("sub").alias("sb"), F.col("k").alias("kb"), F.col("rep").alias("rb"),
                              F.col("lo").alias("lb"), F.col("hi").alias("hb"))
         gap2 = far2 = F.lit(0.0)
         for j in range(d):
@@ -274,13 +276,21 @@ def _linked_cells(core, near, side, eps2, d):
             open_pairs.join(left, ["a", "sa"]).join(right, ["b", "sb"])
             .withColumn("linked", (far2 < eps2) | (_d2("ra", "rb", d) < eps2))
             .filter(F.col("linked") | ((gap2 < eps2) & ~same))
-            .select("a", "b", "sa", "sb", "linked"))
+            .select("a", "b", "sa", "sb", "linked", (F.col("ka") * F.col("kb")).cast("double").alias("work")))
         found = judged.filter("linked").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
         links = found if links is None else links.unionByName(found)
         rest = (judged.filter("NOT linked").join(found.select(F.col("src").alias("a"), F.col("dst").alias("b")),
-                                                 ["a", "b"], "left_anti").select("a", "b", "sa", "sb"))
-        if rest.isEmpty():
+                                                 ["a", "b"], "left_anti").select("a", "b", "sa", "sb", "work"))
+        left_over = rest.agg(F.sum("work")).first()[0]
+        if left_over is None:
             return links
+        if left_over <= DIRECT_PAIRS:
+            inner = core.withColumn("sub", _cell("x", side / (1 << level), d))
+            one = inner.select(F.col("cell").alias("a"), F.col("sub").alias("sa"), F.col("x").alias("xa"))
+            two = inner.select(F.col("cell").alias("b"), F.col("sub").alias("sb"), F.col("x").alias("xb"))
+            direct = (rest.join(one, ["a", "sa"]).join(two, ["b", "sb"]).filter(_d2("xa", "xb", d) < eps2)
+                      .select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+            return links.unionByName(direct)
         level += 1
         subs = _boxes(core, side, level, d).select(
             "cell", "sub", F.transform("sub", lambda v: F.floor(v / 2)).alias("parent"))

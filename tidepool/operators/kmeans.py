@@ -16,11 +16,11 @@ from pyspark.sql import types as T
 
 from tidepool.functions import summary
 from tidepool.operators.assign import assign_nearest
-from tidepool.operators.cf import cf_merge
+from tidepool.operators.cf import cf_merge, vector_sum
 from tidepool.operators.fold import fold_rows
-from tidepool.operators.rows import sample_fixed
+from tidepool.operators.rows import sample_fixed, small_side
 from tidepool.schema import VECTOR
-from tidepool.session import LIMITS, Limits
+from tidepool.session import LIMITS, Limits, width_of
 
 CENTRES = T.StructType([T.StructField("mc_id", T.LongType()), T.StructField("centre", VECTOR)])
 
@@ -38,17 +38,15 @@ def lloyd(points: DataFrame, centres: DataFrame, iterations: int, *, x: str = "x
     ``until_stable`` stops as soon as no centre moves.
     """
     spark = points.sparkSession
+    centres = spark.createDataFrame(centres.select("mc_id", "centre").collect(), CENTRES)
     held = not points.storageLevel.useMemory and not points.storageLevel.useDisk
     rows = points.select(x, *([weight] if weight else []))
     rows = rows.persist() if held else rows
     for _ in range(iterations):
         sums = fold_rows(rows, centres, x=x, t=None, weight=weight, limits=limits).filter("mc_id >= 0")
-        means = (sums.select("mc_id", "n", F.posexplode("ls").alias("dim", "v"))
-                 .groupBy("mc_id", "dim").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-                 .filter("n > 0").withColumn("c", F.col("v") / F.col("n")))
-        new = (means.groupBy("mc_id").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("p"))
-               .select("mc_id", F.col("p.c").alias("centre")))
-        fresh = sorted((r["mc_id"], list(r["centre"])) for r in new.collect())
+        d = width_of(centres, "centre")
+        moved = sums.groupBy("mc_id").agg(F.sum("n").alias("n"), vector_sum(F.col("ls"), d).alias("ls")).filter("n > 0")
+        fresh = sorted((r["mc_id"], [v / r["n"] for v in r["ls"]]) for r in moved.collect())
         if until_stable:
             old = {r["mc_id"]: np.array(r["centre"]) for r in centres.collect()}
             if len(old) == len(fresh) and all(np.array_equal(old[i], np.array(c)) for i, c in fresh):
@@ -65,7 +63,7 @@ def weighted_clusters(examples: DataFrame, centres: DataFrame, iterations: int,
     final = lloyd(examples, centres, iterations, x=x, weight=weight, until_stable=until_stable, limits=limits)
     labelled = label_rows(examples, final, x=x, limits=limits)
     sums = labelled.groupBy("cluster_id").agg(F.sum(weight).alias("weight"))
-    return (sums.join(F.broadcast(final.withColumnRenamed("mc_id", "cluster_id")), "cluster_id")
+    return (sums.join(small_side(final.withColumnRenamed("mc_id", "cluster_id")), "cluster_id")
             .select("cluster_id", "centre", "weight"))
 
 

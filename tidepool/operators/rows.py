@@ -128,3 +128,8 @@ def tokens(df: DataFrame, text: str = "value", sep: str = " ") -> DataFrame:
 def check_size(df: DataFrame, limit: int = LIMITS.block_rows) -> bool:
     """True if the table has at most ``limit`` rows; reads no further than that."""
     return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
+def small_side(df: DataFrame, limit: int = LIMITS.block_rows) -> DataFrame:
+    """A broadcast hint, but only if the table is checked to be small; else the join is left to Spark."""
+    return F.broadcast(df) if check_size(df, limit) else df

@@ -70,15 +70,23 @@ def recluster(state: DataFrame, tick: int, params: DStreamParams, first: bool) -
     return table.drop("cluster_id").join(clusters, "cell", "left").select(*[f.name for f in GRID_CELL.fields])
 
 
-def step(state: DataFrame, batch: DataFrame, tick: int, params: DStreamParams, *, x: str = "x") -> DataFrame:
-    """One batch: count cells, upsert, and every ``time_gap`` ticks prune and recluster."""
-    first = state.isEmpty()
-    new = cut_lineage(absorb(state, cell_counts(batch, list(params.gaps), x=x), tick, params))
+@dataclass
+class GridState:
+    """The table of cells between batches."""
+
+    model: DataFrame
+    tick: int = 0
+
+
+def step(state: GridState, batch: DataFrame, params: DStreamParams, *, x: str = "x", keep=cut_lineage) -> GridState:
+    """One tick: count cells, upsert, and every ``time_gap`` ticks prune and recluster."""
+    first, tick = state.model.isEmpty(), state.tick + 1
+    new = cut_lineage(absorb(state.model, cell_counts(batch, list(params.gaps), x=x), tick, params))
     if first:
-        return recluster(new, tick, params, True)
-    if tick % params.time_gap:
-        return new
-    return recluster(remove_sporadic(new, tick, params), tick, params, False)
+        new = recluster(new, tick, params, True)
+    elif tick % params.time_gap == 0:
+        new = recluster(remove_sporadic(new, tick, params), tick, params, False)
+    return GridState(keep(new), tick)
 
 
 def clusters_of(state: DataFrame) -> DataFrame:
