@@ -37,7 +37,8 @@ def test_parts_by_hand(spark):
     # Point 8 (class 1) lies in the sphere matched to class 0, outside the class's own sphere.
     c0 = np.mean([x[i] for i in zero], axis=0)
     inside = np.linalg.norm(x[8] - c0) <= max(np.linalg.norm(x[i] - c0) for i in zero)
-    want8 = 1e-5 if inside else conn[8] * (1 - min(1.0, up[0] / kd(8, zero)))
+    apart = 1 - min(1.0, up[0] / kd(8, zero))
+    want8 = 1e-5 if inside or apart == 0 else conn[8] * apart
     assert rows[8]["err"] == pytest.approx(want8)
     assert rows[6]["err"] == pytest.approx(1e-5) and rows[7]["err"] == 1.0
     total = sum(r["err"] for r in rows.values())

@@ -210,7 +210,8 @@ def test_denstream_grows_promotes_and_prunes(spark):
     rng = np.random.default_rng(14)
     blob = rng.normal(size=(60, 2)) * 0.1
     params = de.DenStreamParams(eps=0.5, mu=10, beta=0.3, lam=0.1)
-    state = de.DecayingState(de.init_kmeans(timed(spark, blob, np.zeros(60)), 1))
+    one = [(0, "p", 1.0, [0.0, 0.0], [0.0, 0.0], 0, 0)]
+    state = de.DecayingState(spark.createDataFrame(one, de.DECAYING_CLUSTER))
     x = np.concatenate([blob, rng.normal(size=(40, 2)) * 0.1 + 9, [[-30.0, 0.0]]])
     state = de.step(state, timed(spark, x, np.full(len(x), 1)), params)
     rows = {tuple(np.round(np.array(r["ls"]) / r["w"]).astype(int)): r for r in state.model.collect()}
