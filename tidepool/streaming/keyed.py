@@ -50,7 +50,11 @@ def fold_batch(model: list, now: float, x: np.ndarray, t: np.ndarray, params: Cl
 
 def keyed_clustream(stream: DataFrame, key: str, params: CluStreamParams, *, x: str = "x", t: str = "t",
                     timeout: str = "10 seconds") -> DataFrame:
-    """Streaming (key, micro-cluster) rows: each key's model after every batch that touched it."""
+    """Streaming (key, micro-cluster) rows: each key's model after every batch that touched it.
+
+    Under ``availableNow`` set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false, since
+    a processing-time timeout keeps asking for batches without data.
+    """
     q = params.q
     span = int(timeout.split()[0]) * 1000
 
