@@ -18,6 +18,9 @@ from tidepool.schema import CORESET
 from tidepool.session import LIMITS, Limits, cut_lineage
 
 
+BASE = 16
+
+
 def reduce_points(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator):
     """m weighted representatives by a tree of splits.
 
@@ -26,34 +29,43 @@ def reduce_points(x: np.ndarray, w: np.ndarray, m: int, rng: np.random.Generator
     """
     if len(x) <= m:
         return x, w
-    total = w.sum()
-    first = int(rng.choice(len(x), p=w / total))
-    centres = [first]
-    d2 = ((x - x[first]) ** 2).sum(axis=1)
+    def draw(mass):
+        running = np.cumsum(mass)
+        return min(int(np.searchsorted(running, rng.random() * running[-1], side="right")), len(mass) - 1)
+
+    centres = [draw(w)]
+    d2 = ((x - x[centres[0]]) ** 2).sum(axis=1)
     members = [np.arange(len(x))]
-    costs = [float((w * d2).sum())]
+    costs = np.zeros(m)
+    costs[0] = (w * d2).sum()
     while len(centres) < m:
-        all_cost = np.array(costs)
-        if all_cost.sum() <= 0:
+        k = len(centres)
+        if costs[:k].sum() <= 0:
             break
-        leaf = int(rng.choice(len(costs), p=all_cost / all_cost.sum()))
+        leaf = draw(costs[:k])
         idx = members[leaf]
         share = w[idx] * d2[idx]
-        new = int(idx[rng.choice(len(idx), p=share / share.sum())])
+        if share.sum() <= 0:
+            costs[leaf] = 0.0
+            continue
+        new = int(idx[draw(share)])
         d_new = ((x[idx] - x[new]) ** 2).sum(axis=1)
         moves = d_new < d2[idx]
         d2[idx[moves]] = d_new[moves]
         stay, gone = idx[~moves], idx[moves]
-        members[leaf], costs[leaf] = stay, float((w[stay] * d2[stay]).sum())
-        centres.append(new)
+        members[leaf] = stay
         members.append(gone)
-        costs.append(float((w[gone] * d2[gone]).sum()))
+        centres.append(new)
+        costs[leaf], costs[k] = (w[stay] * d2[stay]).sum(), (w[gone] * d2[gone]).sum()
     keep = [i for i, idx in enumerate(members) if len(idx)]
     return x[[centres[i] for i in keep]], np.array([w[members[i]].sum() for i in keep])
 
 
 class Buckets:
-    """Levels of coresets of size m; level counts are capped at ``levels``, the last keeps merging."""
+    """Levels of coresets of size m; level counts are capped at ``levels``, the last keeps merging.
+
+    Incoming rows are gathered ``BASE`` coreset sizes at a time before the first reduction.
+    """
 
     def __init__(self, m: int, levels: int, rng: np.random.Generator):
         self.m, self.levels, self.rng = m, levels, rng
@@ -63,15 +75,15 @@ class Buckets:
     def feed(self, x, w):
         lo = 0
         while lo < len(x):
-            take = min(len(x) - lo, self.m - self.size)
+            take = min(len(x) - lo, BASE * self.m - self.size)
             self.x.append(x[lo:lo + take])
             self.w.append(w[lo:lo + take])
             self.size += take
             lo += take
-            if self.size == self.m:
+            if self.size == BASE * self.m:
                 piece = (np.concatenate(self.x), np.concatenate(self.w))
                 self.x, self.w, self.size = [], [], 0
-                self.carry(0, piece)
+                self.carry(0, reduce_points(*piece, self.m, self.rng))
 
     def carry(self, level, piece):
         while level in self.full:
