@@ -163,3 +163,23 @@ def stream_metrics(spark, sf):
         {"processing_ms": F.lit(1000).cast("long"), "total_ms": F.lit(1000).cast("long")})
     out = throughput(table)
     return out.select("records", "batches", F.col("max_throughput").cast("long").alias("largest"))
+
+
+@add("evaluation_window", f"""
+WITH w AS (SELECT * FROM events ORDER BY event_id DESC LIMIT 10000)
+SELECT event_type, count(*) AS n, {sql_r6('sum(value)', 'total')}, min(event_id) AS first_id FROM w GROUP BY event_type""")
+def evaluation_window(spark, sf):
+    """The last 10,000 rows: the window is the feature."""
+    w = cmm.evaluation_window(visits(spark, sf), ["event_id"])
+    return w.groupBy("event_type").agg(F.count("*").alias("n"), r6(F.sum("value"), "total"), F.min("event_id").alias("first_id"))
+
+
+@add("cmm_found_spheres", f"WITH {TRUTH} SELECT f AS cluster_id, {sql_r6('r', 'radius')}, {sql_r6('c[1]', 'c0')} FROM fs")
+def cmm_found_spheres(spark, sf):
+    return _spheres(spark, sf).select("cluster_id", r6("radius", "radius"), r6(F.col("centre")[0], "c0"))
+
+
+@add("cmm_class_spheres", f"WITH {TRUTH} SELECT h AS class, {sql_r6('r', 'radius')}, {sql_r6('c[1]', 'c0')} FROM gtr")
+def cmm_class_spheres(spark, sf):
+    out = cmm.class_spheres(_points(spark, sf).filter("class <> 9"), d=64)
+    return out.select("class", r6("radius", "radius"), r6(F.col("centre")[0], "c0"))

@@ -357,3 +357,44 @@ def snapshot_diff(spark, sf):
     out = snapshots.horizon_features(new, old)
     return out.select("mc_id", F.col("n").cast("long").alias("n"), r6(F.col("ls")[0], "ls"), r6(F.col("ss")[0], "ss"),
                       F.col("lst").cast("long").alias("lst"))
+
+
+@add("grid_average_thresholds", f"""
+WITH {ITEMS}, {CELLS} SELECT {sql_r6('3.0 * avg(density)', 'dm')}, {sql_r6('0.8 * avg(density)', 'dl')} FROM cells""")
+def grid_average_thresholds(spark, sf):
+    return grid.average_thresholds(_cells(spark, sf), 3.0, 0.8).select(r6("dm", "dm"), r6("dl", "dl"))
+
+
+@add("grid_upsert", f"""
+WITH {ITEMS}, pc AS (SELECT CAST(trunc(x0 / {GAPS[0]}) AS INTEGER) AS i, CAST(trunc(x1 / {GAPS[1]}) AS INTEGER) AS j,
+  CAST(trunc(x2 / {GAPS[2]}) AS INTEGER) AS k, l_returnflag FROM items),
+a AS (SELECT i, j, k, count(*) AS n FROM pc WHERE l_returnflag = 'A' GROUP BY i, j, k),
+b AS (SELECT i, j, k, count(*) AS n FROM pc WHERE l_returnflag <> 'A' GROUP BY i, j, k)
+SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.k, b.k) AS k,
+  {sql_r6('CASE WHEN b.n IS NULL THEN a.n ELSE coalesce(a.n, 0) * pow(0.998, 3) + b.n END', 'density')},
+  CASE WHEN b.n IS NULL THEN 1 ELSE 4 END AS t_update
+FROM a FULL OUTER JOIN b ON a.i = b.i AND a.j = b.j AND a.k = b.k""")
+def grid_upsert(spark, sf):
+    """Known cells decay and add, new ones appear, untouched ones wait."""
+    pts = items(spark, sf)
+    first = dstream.absorb(dstream.empty_grid(spark), grid.cell_counts(pts.filter("l_returnflag = 'A'"), GAPS), 1, GRID)
+    both = dstream.absorb(first, grid.cell_counts(pts.filter("l_returnflag <> 'A'"), GAPS), 4, GRID)
+    return both.select(*_ijk(), r6("density", "density"), "t_update")
+
+
+@add("mc_examples", f"""
+WITH {ITEMS}, {TILES} SELECT mc_id, n AS weight, {sql_r6('ls0 / n', 'c0')}, round(ls0, 4) + 0.0 AS s0 FROM tiles WHERE n > 0""")
+def mc_examples(spark, sf):
+    model = tiles(spark, sf)
+    a = kmeans.as_examples(model).select("mc_id", "weight", r6(F.col("x")[0], "c0"))
+    b = kmeans.as_examples(model, "sum").select("mc_id", (F.round(F.col("x")[0], 4) + F.lit(0.0)).alias("s0"))
+    return a.join(b, "mc_id")
+
+
+@add("row_slice", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) SELECT event_id FROM n WHERE i >= 100 AND i < 200")
+def row_slice(spark, sf):
+    """Rows 100 to 199: the slice is the feature."""
+    from tidepool.catalog.data import table
+    from tidepool.operators.rows import row_slice as cut
+
+    return cut(table(spark, sf, "events").select("event_id"), ["event_id"], 100, 200)

@@ -301,3 +301,10 @@ def evaluate(points: DataFrame, spheres: DataFrame, *, d: int, params: CMMParams
         F.when(noise_rows == 0, 1.0).otherwise(1 - ca_noise.scalar() / noise_rows).alias("ca_noise"),
         (1 - wrong / F.col("_n")).alias("ca_model"))
     return Scored(scored, matches, conn, result)
+
+
+def evaluation_window(rows: DataFrame, order: list, n: int = 10_000) -> DataFrame:
+    """The last n labelled rows of a stream: what the measure is taken on."""
+    from tidepool.operators.rows import last_rows
+
+    return last_rows(rows, order, n)
