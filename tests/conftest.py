@@ -12,7 +12,7 @@ SF = os.environ.get("TIDEPOOL_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from tidepool.session import get_session
 
-    session = get_session("tests", "local[8]", spark__sql__shuffle__partitions=8, spark__ui__enabled="false",
+    session = get_session("tests", "local[8]", spark__sql__shuffle__partitions=4, spark__ui__enabled="false",
                           spark__driver__memory="8g", spark__sql__streaming__stopTimeout="30s")
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -6,7 +6,7 @@ from tidepool.functions import grid as g
 from tidepool.operators import dbscan, grid
 from tidepool.operators.components import connected_components
 from tidepool.plans import dstream
-from tidepool.session import Limits
+from tidepool.session import Limits, cut_lineage
 
 
 def find_all(n, edges):
@@ -131,7 +131,7 @@ def test_grid_clusters_of_an_l_shape(spark):
 
 
 def test_repair_splits_and_equals_a_full_rebuild(spark):
-    before = grid.grid_clusters(grid_df(spark, L_CELLS), 2)
+    before = cut_lineage(grid.grid_clusters(grid_df(spark, L_CELLS), 2))
     for new_attr in ({(0, 0): 0}, {(1, 0): 0, (5, 5): 2}, {(3, 0): 2, (9, 9): 2}, {}):
         now = [(c, new_attr.get(c, a)) for c, a in L_CELLS]
         table = grid_df(spark, now).join(before, "cell", "left").withColumn(

@@ -95,7 +95,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node: str = "nod
         if mark[0] == 0:
             break
         if mark[0] <= 4 * limits.block_rows:
-            work = _settle(work)
+            work = cut_lineage(_settle(work))
             break
         work = cut_lineage(_small_star(_large_star(work)))
         new = _mark(work)
