@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.session import LIMITS, Limits
+from tidepool.session import LIMITS, Limits, ship_package
 
 
 @dataclass
@@ -69,6 +69,7 @@ def _to_block(table: pa.Table) -> Block:
 
 def read_blocks(model: DataFrame, order: str, limits: Limits = LIMITS) -> Iterator[Block]:
     """Yield the model piece by piece, each piece sorted by ``order``."""
+    ship_package(model.sparkSession)
     head = model.limit(limits.block_rows + 1).toArrow()
     if head.num_rows <= limits.block_rows and head.nbytes <= limits.block_bytes:
         yield _to_block(head.sort_by(order))

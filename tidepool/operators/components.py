@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.operators.blocks import list_column, vector_matrix
-from tidepool.session import LIMITS, Limits, cut_lineage
+from tidepool.session import LIMITS, Limits, cut_lineage, ship_package
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -74,6 +74,7 @@ def _settle(edges: DataFrame) -> DataFrame:
         else:
             yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], names=["a", "b"])
 
+    ship_package(edges.sparkSession)
     return edges.coalesce(1).mapInArrow(run, edges.schema)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.blocks import list_column, vector_matrix
 from tidepool.schema import CORESET
-from tidepool.session import LIMITS, Limits, cut_lineage
+from tidepool.session import LIMITS, Limits, cut_lineage, ship_package
 
 
 BASE = 16
@@ -124,6 +124,7 @@ def _fold(rows: DataFrame, m: int, levels: int, seed: int, final: bool) -> DataF
             parts = [(parts[-1][0], *reduce_points(x, w, m, rng))]
         yield from _emit(parts)
 
+    ship_package(rows.sparkSession)
     return rows.select("x", "weight").mapInArrow(run, CORESET)
 
 
@@ -146,6 +147,7 @@ def coreset(points: DataFrame, m: int, *, x: str = "x", weight: str | None = Non
 
 def carry_in(state: DataFrame, batch_coreset: DataFrame, m: int, *, window: int = 1_100_000, seed: int = 0) -> DataFrame:
     """The bucket table after one batch's coreset is added at level 0 (at most levels * m rows)."""
+    ship_package(state.sparkSession)
     levels = levels_for(window, m)
     both = state.withColumn("new", F.lit(False)).unionByName(
         batch_coreset.withColumns({"new": F.lit(True), "level": F.lit(0).cast("int")}))

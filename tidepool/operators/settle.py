@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidepool.operators.blocks import list_column, nearest_index, squared_distances, vector_matrix
 from tidepool.schema import DECAYING_CLUSTER, MICRO_CLUSTER, VECTOR
-from tidepool.session import LIMITS, Limits, cut_lineage
+from tidepool.session import LIMITS, Limits, cut_lineage, ship_package
 
 LEFT_OVER = T.StructType([T.StructField("n", T.DoubleType()), T.StructField("ls", VECTOR), T.StructField("ss", VECTOR),
                           T.StructField("lst", T.DoubleType()), T.StructField("sst", T.DoubleType()),
@@ -155,6 +155,7 @@ def settle_in_slots(model: DataFrame, left: DataFrame, *, now: float, m: float,
     Each row is absorbed by a cluster this pass has touched, or overwrites the stalest
     deletable cluster, or takes the slot freed by merging the closest pair.
     """
+    ship_package(model.sparkSession)
     left = compact(left, cap=lambda: model.count(), factor=factor, limits=limits)
     rows = left.select(F.lit(1).alias("_k"), "n", "ls", "ss", "lst", "sst", "t")
     base = model.select(F.lit(1).alias("_k"), "mc_id", "n", "ls", "ss", "lst", "sst", "ids")
@@ -254,6 +255,7 @@ def compact(left: DataFrame, *, cap, factor: float, limits: Limits = LIMITS) ->
     rows = left.count()
     if rows <= limits.fold_rows:
         return left
+    ship_package(left.sparkSession)
     cap = max(2, min(cap(), limits.fold_rows // 2))
     left = left.select(*[f.name for f in LEFT_OVER.fields])
 
@@ -344,6 +346,7 @@ def _grow_clusters(rows: DataFrame, eps: float, lam: float, factor: float) -> Da
         if cols:
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in BORN.fields])
 
+    ship_package(rows.sparkSession)
     return rows.select(*[f.name for f in BORN.fields]).mapInArrow(run, BORN)
 
 
@@ -382,5 +385,6 @@ def shrink(features: DataFrame, q: int, *, factor: float) -> DataFrame:
                 [pa.array(np.arange(k)), pa.array(pool.n[:k]), list_column(pool.ls[:k]), list_column(pool.ss[:k]),
                  pa.array(pool.lst[:k]), pa.array(pool.sst[:k])], names=[f.name for f in schema.fields])
 
+    ship_package(features.sparkSession)
     ordered = features.select(*[f.name for f in LEFT_OVER.fields]).coalesce(1).sortWithinPartitions("t", "ls")
     return ordered.mapInArrow(run, schema)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +47,30 @@ def get_session(app: str = "tidepool", master: str | None = None, **conf) -> Spa
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of all executors (once per application)."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(root):
+        path = os.path.join(tempfile.mkdtemp(prefix="tidepool-code-"), "tidepool.zip")
+        with zipfile.ZipFile(path, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        out.write(full, os.path.join("tidepool", os.path.relpath(full, root)))
+        context.addPyFile(path)
+    _shipped.add(context.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:

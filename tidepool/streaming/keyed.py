@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from tidepool.operators.blocks import nearest_index
 from tidepool.operators.settle import Slots, compact, spread
 from tidepool.plans.clustream import CluStreamParams
+from tidepool.session import ship_package
 
 OUT = "key bigint, mc_id bigint, n double, ls array<double>, ss array<double>, lst double, sst double"
 STATE = "n array<double>, ls array<double>, ss array<double>, lst array<double>, sst array<double>, now double"
@@ -55,6 +56,7 @@ def keyed_clustream(stream: DataFrame, key: str, params: CluStreamParams, *, x:
     Under ``availableNow`` set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false, since
     a processing-time timeout keeps asking for batches without data.
     """
+    ship_package(stream.sparkSession)
     q = params.q
     span = int(timeout.split()[0]) * 1000
 
