@@ -44,3 +44,25 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> list:
     """At most ``rows`` rows, drawn by a hash of ``key``: the same rows whatever the layout of the input."""
     ranked = df.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(key)))
     return ranked.orderBy("_draw", *[F.col(c) for c in df.columns]).limit(rows).drop("_draw").collect()
+
+
+def stratified(df: DataFrame, label: str, key: str, per_label: int, seed: str, most_labels: int = 1000) -> list:
+    """At most ``per_label`` rows of each label on the driver, drawn by a hash of ``key``.
+
+    The hash bound of a label follows from its count, so that about so many rows, and never a whole label, are gathered.
+    """
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().limit(most_labels + 1).collect()}
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} labels in {label}")
+    if not counts:
+        return []
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    wanted = per_label + 5 * per_label ** 0.5 + 10
+    share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(min(1.0, wanted / n)))])
+    rows = df.withColumn("_draw", draw).filter(F.col("_draw") < share[F.col(label)]).collect()
+    taken, out = dict.fromkeys(counts, 0), []
+    for row in sorted(rows, key=lambda r: (r["_draw"], str(r[key]))):
+        if taken[row[label]] < per_label:
+            taken[row[label]] += 1
+            out.append(row)
+    return out

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidepool.llm.common import table
+from tidepool.llm.common import fold_of, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -21,5 +22,48 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
 
 
-QUERIES = {"op1_bpe": op1_bpe}
-SQL: dict[str, str] = {}
+def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import langid
+
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(fold_of("doc_id", 4) != 2))
+    return (langid.predict(docs.drop("lang"), model, keep=["doc_id"])
+            .select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")))
+
+
+TOXIC_FROM = 0.3
+
+
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import toxicity
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf, "labels").filter(fold_of("doc_id", 4) != 2))
+    return (toxicity.score(docs, model, keep=["doc_id"])
+            .select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), F.col("toxicity").alias("score"),
+                    (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted")))
+
+
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op9_urls(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import urlrules
+
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(repr, URL_RULES)) + " AS rules(host, path, verdict)")
+    return urlrules.judge(table(spark, sf, "pages"), rules)
+
+
+OP9_SQL = f"""
+WITH rest AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+cut AS (SELECT r, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(h, p, v) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+found AS (SELECT c.*, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h) + length(p) DESC, length(h) DESC) AS k
+          FROM cut c LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM found WHERE k = 1"""
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op8_langid": op8_langid, "op9_urls": op9_urls}
+SQL: dict[str, str] = {"op9_urls": OP9_SQL}
