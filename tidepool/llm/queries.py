@@ -22,6 +22,12 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
 
 
+def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import shingles
+
+    return shingles.join(table(spark, sf, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import langid
 
@@ -65,5 +71,5 @@ found AS (SELECT c.*, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM found WHERE k = 1"""
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op8_langid": op8_langid, "op9_urls": op9_urls}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op5_jaccard": op5_jaccard, "op8_langid": op8_langid, "op9_urls": op9_urls}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}
