@@ -28,6 +28,14 @@ def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return shingles.join(table(spark, sf, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import secrets
+
+    found = secrets.scan(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.spans_text(F.col("found")).alias("spans"),
+                        F.size(F.filter("found", lambda x: x["example"])).alias("n_examples"))
+
+
 def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import langid
 
@@ -71,5 +79,5 @@ found AS (SELECT c.*, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM found WHERE k = 1"""
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op5_jaccard": op5_jaccard, "op8_langid": op8_langid, "op9_urls": op9_urls}
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op8_langid": op8_langid, "op9_urls": op9_urls}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}
