@@ -66,3 +66,17 @@ def stratified(df: DataFrame, label: str, key: str, per_label: int, seed: str, m
             taken[row[label]] += 1
             out.append(row)
     return out
+
+
+def texts_for(sample: list, docs: DataFrame, key: str, text: str) -> list[tuple]:
+    """(label, text) of the sampled (key, label) rows that have a text, in an order that only depends on the rows.
+
+    The sample is of bounded size, so it goes to the texts, which are not shuffled.
+    """
+    if not sample:
+        return []
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(r["key"], r["label"]) for r in sample], "key bigint, label int")
+    found = docs.select(docs[key].cast("bigint").alias("key"), docs[text].alias("text")).filter("text is not null").join(
+        F.broadcast(wanted), "key").collect()
+    return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["key"], r["text"]))]

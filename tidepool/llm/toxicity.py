@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import slices, stratified, texts_of
+from tidepool.llm.common import slices, stratified, texts_for, texts_of
 from tidepool.session import ship_package
 
 WINDOW = 64  # bytes
@@ -144,14 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     """Learn from the labelled texts; ``labels`` has (key, label), of which null labels and repeated rows are left out."""
     known = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).filter(
         "label in (0, 1)").dropDuplicates(["key"])
-    rows = stratified(docs.select(docs[key].alias("key"), docs[text].alias("text")).filter("text is not null").join(known, "key"),
-                      "label", "key", 2 * rows_per_label, "toxicity")
+    rows = texts_for(stratified(known, "label", "key", 2 * rows_per_label, "toxicity"), docs, key, text)
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     share = total.get(1, 0) / max(1, sum(total.values())) if total else 0.5
     # Which half a text falls into goes by its content, so that exact copies stay together.
     halves: dict[tuple[int, int], list[str]] = {(v, h): [] for v in (0, 1) for h in (0, 1)}
     for r in rows:
-        halves[r["label"], sum(r["text"].encode("utf-8", "surrogatepass")) % 2].append(r["text"])
+        halves[r[0], sum(r[1].encode("utf-8", "surrogatepass")) % 2].append(r[1])
     if not all(halves.values()):
         return ToxicityModel(share=share)
     plain = [w for t in halves[0, 0] for w in windows(t)]
