@@ -79,5 +79,12 @@ found AS (SELECT c.*, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM found WHERE k = 1"""
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op8_langid": op8_langid, "op9_urls": op9_urls}
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import packing
+
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op8_langid": op8_langid, "op9_urls": op9_urls,
+           "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op9_urls": OP9_SQL}
