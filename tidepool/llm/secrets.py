@@ -33,6 +33,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "owned")
 
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+MAYBE_OPAQUE = "[A-Za-z0-9+/_-]{20,}"  # every text with an opaque token has such a run
 LEAST_BITS = 3.5  # entropy per character of an opaque token
 
 
@@ -138,25 +139,36 @@ def spans_text(found) -> F.Column:
 def redact(docs: DataFrame, found: DataFrame, *, key: str = "doc_id", text: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every found span replaced by ``mask``, overlapping spans by one; other texts stay as they are.
 
-    ``found`` has one row for a key (of repeated rows any will do: equal texts have equal spans).
+    Base spans follow from a text alone.  Only texts that hold an opaque token meet ``found``, of which one row for a key is
+    used (equal texts have equal spans); the others are not shuffled.  ``n_chars``, if there is one, is counted anew.
     """
     ship_package(docs.sparkSession)
-    spans = found.filter(F.size("found") > 0).dropDuplicates([key]).select(
-        F.col(key).alias("_key"), F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))).alias("_spans"))
     names = docs.columns
-    joined = docs.join(spans.hint("shuffle_hash"), docs[key] == spans["_key"], "left").drop("_key")
+    opaque = F.coalesce(F.col(text).rlike(MAYBE_OPAQUE), F.lit(False))
+    spans = found.select(F.col(key).alias("_key"), F.filter("found", lambda x: x["kind"] == 3).alias("_owned")).filter(
+        F.size("_owned") > 0).dropDuplicates(["_key"]).select("_key", F.transform("_owned", lambda x: F.struct(
+            x["start"].alias("start"), x["stop"].alias("stop"))).alias("_owned"))
+    none = F.lit(None).cast("array<struct<start:int,stop:int>>").alias("_owned")
+    alone = docs.filter(~opaque).select(*[docs[c] for c in names], none)
+    met = docs.filter(opaque).join(spans.hint("shuffle_hash"), docs[key] == spans["_key"], "left").select(
+        *[docs[c] for c in names], "_owned")
 
     def run(batches):
         for part in slices(batches):
-            if part.column(len(names)).null_count < part.num_rows:
-                texts = part.column(names.index(text)).to_pylist()
-                for i, where in enumerate(part.column(len(names)).to_pylist()):
-                    if where and texts[i] is not None:
-                        texts[i] = masked(texts[i], [(w["start"], w["stop"]) for w in where], mask)
+            texts = part.column(names.index(text)).to_pylist()
+            owned = part.column(len(names)).to_pylist()
+            changed = False
+            for i, t in enumerate(texts):
+                if t:
+                    where = [(s, e) for s, _, e, _ in base_spans(t)] + [(w["start"], w["stop"]) for w in owned[i] or []]
+                    if where:
+                        texts[i], changed = masked(t, where, mask), True
+            if changed:
                 part = part.set_column(names.index(text), text, pa.array(texts, part.schema.field(text).type))
             yield part.select(names)
 
-    return joined.mapInArrow(run, docs.schema)
+    clean = alone.unionByName(met).mapInArrow(run, docs.schema)
+    return clean.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else clean
 
 
 def masked(text: str, spans: list[tuple[int, int]], mask: str) -> str:
