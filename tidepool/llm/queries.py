@@ -22,6 +22,12 @@ def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), tokenizer_path())
 
 
+def op3_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import vectordup
+
+    return vectordup.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import shingles
 
@@ -36,6 +42,20 @@ def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
                         F.size(F.filter("found", lambda x: x["example"])).alias("n_examples"))
 
 
+def op7_topk(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import topk
+
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP7_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+           FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+
 def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import langid
 
@@ -85,6 +105,6 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_path(), capacity=1024, end_id=2)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op8_langid": op8_langid, "op9_urls": op9_urls,
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_vectors": op3_vectors, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_urls": op9_urls,
            "op10_packing": op10_packing}
-SQL: dict[str, str] = {"op9_urls": OP9_SQL}
+SQL: dict[str, str] = {"op7_topk": OP7_SQL, "op9_urls": OP9_SQL}

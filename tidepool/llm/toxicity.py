@@ -134,7 +134,7 @@ def telling_spellings(toxic: list[str], ordinary: list[str]) -> list[str]:
         if len(chosen) >= SPELLINGS or any(stem.startswith(c.strip()) or c.startswith(" " + stem) for c in chosen):
             continue
         # the longest spelling with that beginning that tells almost as much; a whole word takes its blanks along
-        longest = max((x for x, z in found.items() if x.startswith(stem) and z >= 0.9 * found[s]), key=len)
+        longest = max((x for x, z in found.items() if x.startswith(stem) and z >= 0.9 * found[s]), key=lambda x: (len(x), found[x], x))
         chosen.append(f" {longest[:-1]}" if longest.endswith("*") else f" {longest} ")
     return chosen
 
