@@ -28,6 +28,16 @@ def op3_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectordup.near_duplicates(table(spark, sf, "embeddings"))
 
 
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from tidepool.llm import quality
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels").filter(fold_of("doc_id", 3) != 1))
+    return (quality.score(docs, model, keep=["doc_id"])
+            .select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"),
+                    (F.col("quality_score") >= 0.5).cast("int").alias("predicted")))
+
+
 def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import shingles
 
@@ -105,6 +115,7 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_path(), capacity=1024, end_id=2)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_vectors": op3_vectors, "op5_jaccard": op5_jaccard, "op6_secrets": op6_secrets, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_urls": op9_urls,
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard,
+            "op6_secrets": op6_secrets, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_urls": op9_urls,
            "op10_packing": op10_packing}
 SQL: dict[str, str] = {"op7_topk": OP7_SQL, "op9_urls": OP9_SQL}
