@@ -123,7 +123,7 @@ def telling_spellings(toxic: list[str], ordinary: list[str]) -> list[str]:
     ranked = []
     for s, k in t.items():
         p, q = k / n, o[s] / m
-        both = (k + o[s] + 1) / (n + m)
+        both = (k + o[s] + 1) / (n + m + 2)
         z = (p - q) / math.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
         if z >= LEAST_Z and p >= 4 * q and len(s) >= 4:
             ranked.append((-z, -len(s), s))
