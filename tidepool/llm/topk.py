@@ -5,8 +5,9 @@ means and of the deviations, weighted by the segments' lengths, bound the inner
 distance from below).  Few segments give a coarse bound, more segments a finer one.
 
 Queries and candidates are dealt to blocks, and each pair of blocks is one task: it bounds all pairs coarsely, computes the most promising
-ones exactly, which sets each query's bar (its k-th best so far), and lets only pairs whose bound reaches the bar on to the finer
+ones exactly, which sets each query's bar (its k-th best so far), and lets only rows whose bound reaches a bar on to the finer
 level and then to the exact product.  The k best of every pair of blocks meet in a last ranking.  No answer is lost.
+How many rows the bounds leave out depends on the vectors: smooth ones many, random directions hardly any.
 
 Null vectors and those with null or non-finite components take no part, vectors of different lengths do not meet.  Ties go to the
 smaller key.  Repeated candidates are ranked as often as they occur; a query never meets rows of its own key.
@@ -37,31 +38,37 @@ def statistics(x: np.ndarray, segments: int) -> np.ndarray:
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """(query position, row position, score) of each query's k best rows among these; whole numbers as doubles are exact."""
-    coarse, *finer = [(statistics(queries, n), statistics(rows, n)) for n in LEVELS]
+    """(query position, row position, score) of each query's k best rows among these; whole numbers as doubles are exact.
+
+    A few queries are answered at once.  A row goes on to the next level while it may still be among the best of one of
+    them, so that every level is one matrix product over the rows that are left.
+    """
+    levels = [(statistics(queries, n), statistics(rows, n)) for n in LEVELS]
     reach = np.linalg.norm(rows, axis=1).max(initial=0.0)
+    first = min(FIRST, len(rows))
     for at in range(0, len(queries), QUERIES_AT_ONCE):
-        q = queries[at:at + QUERIES_AT_ONCE]
+        now = slice(at, at + QUERIES_AT_ONCE)
+        q = queries[now]
         slack = 1e-9 * (np.linalg.norm(q, axis=1) * reach + 1)[:, None]  # rounding of the bounds
-        bound = coarse[0][at:at + QUERIES_AT_ONCE] @ coarse[1].T + slack
-        own = query_ids[at:at + QUERIES_AT_ONCE, None] == ids[None, :]
-        bound[own] = -np.inf
-        first = min(FIRST, len(rows))
-        top = np.argpartition(-bound, first - 1, axis=1)[:, :first]
-        score = np.einsum("qd,qnd->qn", q, rows[top])
-        score[np.isneginf(np.take_along_axis(bound, top, axis=1))] = -np.inf
-        bar = np.full(len(q), -np.inf) if first < k else -np.partition(-score, k - 1, axis=1)[:, k - 1]
-        i, j = np.nonzero((bound >= bar[:, None]) & ~own)
-        for left, right in finer:
-            fine = np.einsum("pd,pd->p", left[at + i], right[j]) + slack[i, 0]
-            i, j = i[fine >= bar[i]], j[fine >= bar[i]]
-        score = np.einsum("pd,pd->p", q[i], rows[j])
-        good = score >= bar[i]
-        i, j, score = i[good], j[good], score[good]
+        left, bar = np.arange(len(rows)), None
+        for mine, theirs in levels:
+            bound = mine[now] @ theirs[left].T + slack
+            bound[query_ids[now, None] == ids[left][None, :]] = -np.inf
+            if bar is None:  # the k-th best of the most promising rows
+                top = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+                score = np.einsum("qd,qnd->qn", q, rows[top])
+                score[np.isneginf(np.take_along_axis(bound, top, axis=1))] = -np.inf
+                bar = np.full(len(q), -np.inf) if first < k else -np.partition(-score, k - 1, axis=1)[:, k - 1]
+            left = left[(bound >= np.maximum(bar, -1e300)[:, None]).any(axis=0)]
+        score = q @ rows[left].T
+        score[query_ids[now, None] == ids[left][None, :]] = -np.inf
+        if len(left) > k:
+            bar = np.maximum(bar, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero((score >= bar[:, None]) & ~np.isneginf(score))
+        score, j = score[i, j], left[j]
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        best = place < k
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
         yield at + i[best], j[best], score[best]
 
 
