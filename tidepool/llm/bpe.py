@@ -45,20 +45,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def token_bytes(spec: dict) -> dict[int, bytes]:
+    """Bytes of the tokens of a tokenizer file that are not special, by id."""
+    alphabet = byte_alphabet()
+    special = {t["content"] for t in spec["added_tokens"]}
+    return {n: bytes(alphabet[c] for c in text) for text, n in spec["model"]["vocab"].items() if text not in special}
+
+
 class Vocabulary:
     """Token bytes, merge ranks and the pair-compatibility rule of one tokenizer file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
-        for text, number in vocab.items():
-            if text not in self.special:
-                self.bytes[number] = bytes(alphabet[c] for c in text)
+        for number, data in token_bytes(spec).items():
+            self.bytes[number] = data
         for text, number in self.special.items():
             self.bytes[number] = text.encode()
         self.rank = [-1] * size  # -1: a single byte
@@ -157,28 +162,24 @@ class Vocabulary:
                 token = shorter[token]
 
 
-class Codec:
-    """Whole texts to ids and back, with bounded caches; one per Python worker."""
+class Chunks:
+    """Whole texts to ids by cached chunks; ``_by_pattern`` codes what is new, see ``Codec``."""
 
-    def __init__(self, path: str):
-        self.vocabulary = Vocabulary(path)
-        self.pattern = regex.compile(PATTERN)
-        special = sorted(self.vocabulary.special, key=len, reverse=True)
-        self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
-        self.has_special = special
+    def __init__(self, special: dict[str, int]):
+        self.special = special
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.chunks: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-        lengths = [len(b) for b in self.vocabulary.bytes]
-        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        self.pool = np.frombuffer(b"".join(self.vocabulary.bytes), np.uint8)
+
+    def _by_pattern(self, text: str) -> bytes:
+        raise NotImplementedError
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as unsigned 32-bit numbers."""
         if not text:
             return np.empty(0, np.uint32)
-        if any(s in text for s in self.has_special):
-            parts = [np.array([self.vocabulary.special[p]], np.uint32) if p in self.vocabulary.special else self.encode(p)
-                     for p in self.special.split(text) if p]
+        if any(s in text for s in self.special):
+            parts = [np.array([self.special[p]], np.uint32) if p in self.special else self.encode(p)
+                     for p in self.split.split(text) if p]
             return np.concatenate(parts)
         coded = self._by_chunks(text)
         return np.frombuffer(self._by_pattern(text) if coded is None else coded, np.uint32)
@@ -205,16 +206,33 @@ class Codec:
         """Ids of a blank or line end with what follows it; None where white space follows, or stands at its end."""
         if part in self.chunks:
             return self.chunks[part]
-        if part.isalpha() and max(part) < PLAIN:
-            coded = self._piece(" " + part)
-        elif part[-1:] in STOPS and part[:-1].isalpha() and max(part) < PLAIN:
-            coded = self._piece(" " + part[:-1]) + self._piece(part[-1])
-        else:
-            whole = "\n" + part[1:] if part[:1] == LINE else " " + part
-            coded = None if len(whole) == 1 or whole[1].isspace() or whole[-1].isspace() else self._by_pattern(whole)
-        self.chunks[part] = coded
+        coded = self.chunks[part] = self._new_chunk(part)
         return coded
 
+    def _new_chunk(self, part: str) -> bytes | None:
+        whole = "\n" + part[1:] if part[:1] == LINE else " " + part
+        return None if len(whole) == 1 or whole[1].isspace() or whole[-1].isspace() else self._by_pattern(whole)
+
+
+class Codec(Chunks):
+    """Encoder by backtracking and decoder, with bounded caches; one per Python worker."""
+
+    def __init__(self, path: str):
+        self.vocabulary = Vocabulary(path)
+        super().__init__(self.vocabulary.special)
+        self.pattern = regex.compile(PATTERN)
+        self.pieces: dict[str, bytes] = {}
+        lengths = [len(b) for b in self.vocabulary.bytes]
+        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+        self.pool = np.frombuffer(b"".join(self.vocabulary.bytes), np.uint8)
+
+    def _new_chunk(self, part: str) -> bytes | None:
+        if part.isalpha() and max(part) < PLAIN:
+            return self._piece(" " + part)
+        if part[-1:] in STOPS and part[:-1].isalpha() and max(part) < PLAIN:
+            return self._piece(" " + part[:-1]) + self._piece(part[-1])
+        return super()._new_chunk(part)
+
     def _piece(self, piece: str) -> bytes:
         coded = self.pieces.get(piece)
         if coded is None:

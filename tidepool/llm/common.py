@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,9 +31,21 @@ def fold_of(key: Column | str, parts: int) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows; at the end the worker gives its buffers back, as others need the room."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+        del batch
+    release()
+
+
+def release() -> None:
+    """Free memory back to the system: a worker that waits for its next task keeps none of what this one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

@@ -16,7 +16,9 @@ A null text counts as empty: one piece with the end id alone.  Repeated rows are
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 from functools import lru_cache
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.llm.bpe import PATTERN, Chunks, token_bytes
 from tidepool.llm.common import keep, slices, texts_of
 from tidepool.session import ship_package
 
@@ -33,52 +36,33 @@ STEP = 1.0  # share of a length's pieces that one step may cover
 SHARPNESS = 0.1  # how fast prices fall with coverage
 SLACK = 0.1  # how far below the best price a configuration may be to be taken in the same step
 ROUNDS = 3
-CACHE = 300_000  # chunks of text whose ids a task remembers
 
 Plan = list[tuple[dict[int, int], int]]
 
 
-class _Ids:
+class Ids(Chunks):
     """Ids of whole texts, those of the tokenizer file: common chunks from a cache, new ones from the byte-pair ranks."""
 
     def __init__(self, tokenizer: str):
         import tiktoken
 
-        from tidepool.llm.bpe import PATTERN, Codec
+        with open(tokenizer, encoding="utf-8") as file:
+            spec = json.load(file)
+        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        vocab = spec["model"]["vocab"]
+        made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("ids of the tokenizer do not follow its merges, so they are no ranks")
+        self.coding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={b: n for n, b in token_bytes(spec).items()},
+                                        special_tokens={})
 
-        class Fast(Codec):
-            def _piece(self, piece: str) -> bytes:
-                return self.by_ranks(piece)
-
-            def _by_pattern(self, text: str) -> bytes:
-                return self.by_ranks(text)
-
-            def _chunk(self, part: str) -> bytes | None:
-                if part in self.chunks:
-                    return self.chunks[part]
-                whole = "\n" + part[1:] if part[:1] == "\0" else " " + part
-                coded = None if len(whole) == 1 or whole[1].isspace() or whole[-1].isspace() else self.by_ranks(whole)
-                self.chunks[part] = coded
-                return coded
-
-        self.codec = Fast(tokenizer)
-        vocabulary = self.codec.vocabulary
-        special = set(vocabulary.special.values())
-        # Ranks must grow with the ids for the ids to be the ranks.
-        ranks = {b: n for n, b in enumerate(vocabulary.bytes) if b and n not in special}
-        order = [r for n, r in enumerate(vocabulary.rank) if r >= 0 and n not in special]
-        if order != sorted(order):
-            raise ValueError("ids of the tokenizer do not follow its merges")
-        coding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.codec.by_ranks = lambda t: coding.encode_to_numpy(t, disallowed_special=()).astype(np.uint32).tobytes()
-
-    def __call__(self, text: str) -> np.ndarray:
-        return self.codec.encode(text)
+    def _by_pattern(self, text: str) -> bytes:
+        return array("I", self.coding.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=1)
-def _ids(tokenizer: str) -> _Ids:
-    return _Ids(tokenizer)
+def _ids(tokenizer: str) -> Ids:
+    return Ids(tokenizer)
 
 
 def pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,7 +71,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, capacity: int, end_id: int, key:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        encode = _ids(tokenizer)
+        encode = _ids(tokenizer).encode
         for part in slices(batches):
             row, number, start, length, check = [], [], [], [], []
             for i, t in enumerate(texts_of(part, "text")):

@@ -46,8 +46,8 @@ class Forest:
     trees: int = 24
     deepest: int = 8
     recall: float = 0.999
-    block_shingles: int = 500_000
-    block_texts: int = 2048
+    block_shingles: int = 200_000
+    block_texts: int = 512
 
     @property
     def matched_depth(self) -> int:
