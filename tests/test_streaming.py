@@ -1,5 +1,8 @@
+import shutil
+
 import numpy as np
 import pytest
+from pyspark.errors.exceptions.captured import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidepool.plans import clustream as cl
@@ -77,11 +80,25 @@ def test_a_replayed_batch_is_not_applied_twice(spark, folder):
     params = cl.CluStreamParams(q=5, m=5, horizon=1e9)
     jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c1").awaitTermination()
     total = restore(store, cl.Clustering).model.agg(F.sum("n")).first()[0]
-    # A lost checkpoint replays all batches against the same store.
-    jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c2").awaitTermination()
+    # The last batch was folded, but its offset was not committed: it comes again.
+    for name in ("3", ".3.crc"):
+        (folder / "c1" / "commits" / name).unlink()
+    jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c1").awaitTermination()
     assert restore(store, cl.Clustering).model.agg(F.sum("n")).first()[0] == total and store.versions() == [1, 2, 3, 4]
 
 
+def test_a_store_belongs_to_one_checkpoint(spark, folder):
+    store = ModelStore(spark, f"file://{folder}/store")
+    params = cl.CluStreamParams(q=5, m=5, horizon=1e9)
+    jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c1").awaitTermination()
+    with pytest.raises(ValueError, match="checkpoint"):
+        jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c2")
+    # The checkpoint's own folder was lost: its batches start again, on a store that is further on.
+    shutil.rmtree(folder / "c1")
+    with pytest.raises(StreamingQueryException, match="do not belong together"):
+        jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c1").awaitTermination()
+
+
 def test_clustream_from_its_own_first_batch(spark, folder):
     store = ModelStore(spark, f"file://{folder}/store")
     params = cl.CluStreamParams.per_record(4)

@@ -84,7 +84,7 @@ def _mark(edges: DataFrame):
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, *, node: str = "node", src: str = "src",
-                         dst: str = "dst", max_rounds: int = 100, limits: Limits = LIMITS) -> DataFrame:
+                         dst: str = "dst", limits: Limits = LIMITS) -> DataFrame:
     """(node, component): the smallest node of the component; isolated nodes are their own.
 
     Nodes are numbers or arrays of whole numbers.
@@ -92,9 +92,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node: str = "nod
     work = cut_lineage(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
                        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(work)
-    for _ in range(max_rounds):
-        if mark[0] == 0:
-            break
+    while mark[0]:
         if mark[0] <= 4 * limits.block_rows:
             work = cut_lineage(_settle(work))
             break
@@ -103,8 +101,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, node: str = "nod
         if new == mark:
             break
         mark = new
-    else:
-        raise RuntimeError("components did not settle")
     roots = work.select(F.col("a").alias(node), F.col("b").alias("component"))
     return nodes.select(node).distinct().join(roots, node, "left").select(
         node, F.coalesce("component", node).alias("component"))

@@ -1,9 +1,10 @@
 """The order-dependent part of the online step: where the rows go that no cluster took.
 
-Rows arrive as cluster features (a single point has count 1).  Up to ``Limits.fold_rows`` of
-them are settled one by one in time order, in one task next to the bounded model.  More are
-compacted first: every task folds its own rows into few provisional features, round after
-round, so no task or driver ever holds them all and no count is lost.
+Rows arrive as cluster features (a single point has count 1).  One rule holds for every size: rows
+that lie close in space and time are added up first, by cells that do not depend on the layout,
+and the sums are settled in time order.  Counts and sums are conserved.  ``exact=True`` leaves
+the first step out: every row is settled by itself, in one task, which is the caller's choice and
+only meant for bounded input.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.operators.blocks import list_column, nearest_index, squared_distances, vector_matrix
+from tidepool.operators.cf import cf_merge, vector_sum
 from tidepool.schema import DECAYING_CLUSTER, MICRO_CLUSTER, VECTOR
-from tidepool.session import LIMITS, Limits, cut_lineage, ship_package
+from tidepool.session import ship_package, width_of
 
 LEFT_OVER = T.StructType([T.StructField("n", T.DoubleType()), T.StructField("ls", VECTOR), T.StructField("ss", VECTOR),
                           T.StructField("lst", T.DoubleType()), T.StructField("sst", T.DoubleType()),
@@ -149,14 +151,14 @@ class Slots:
 
 def settle_in_slots(model: DataFrame, left: DataFrame, *, now: float, m: float, horizon: float, factor: float,
                     recheck: bool = True, keep_merged_open: bool = True, newest_first: bool = False,
-                    limits: Limits = LIMITS) -> DataFrame:
+                    exact: bool = False) -> DataFrame:
     """New model of the same size after settling left-over rows in time order.
 
     Each row is absorbed by a cluster this pass has touched, or overwrites the stalest
     deletable cluster, or takes the slot freed by merging the closest pair.
     """
     ship_package(model.sparkSession)
-    left = compact(left, cap=lambda: model.count(), factor=factor, limits=limits)
+    left = left if exact else condense(left)
     rows = left.select(F.lit(1).alias("_k"), "n", "ls", "ss", "lst", "sst", "t")
     base = model.select(F.lit(1).alias("_k"), "mc_id", "n", "ls", "ss", "lst", "sst", "ids")
 
@@ -246,39 +248,34 @@ class Pool:
         self.k = len(keep)
 
 
-def compact(left: DataFrame, *, cap, factor: float, limits: Limits = LIMITS) -> DataFrame:
-    """Left-over features reduced to at most ``limits.fold_rows`` rows; unchanged if they fit already.
+AXES, BINS, SPANS = 3, 16, 8
 
-    Each round every task folds its rows into at most ``cap`` features; the next round runs on
-    fewer tasks.  Counts and sums are conserved.
-    """
-    rows = left.count()
-    if rows <= limits.fold_rows:
-        return left
-    ship_package(left.sparkSession)
-    cap = max(2, min(cap(), limits.fold_rows // 2))
-    left = left.select(*[f.name for f in LEFT_OVER.fields])
 
-    def run(batches):
-        pool = Pool(cap, factor)
-        for batch in batches:
-            cols = {f.name: batch.column(f.name) for f in LEFT_OVER.fields}
-            for lo in range(0, batch.num_rows, 4096):
-                part = {k: v.slice(lo, 4096) for k, v in cols.items()}
-                num = {k: part[k].to_numpy(zero_copy_only=False) for k in ("n", "lst", "sst", "t")}
-                pool.feed(num["n"], vector_matrix(part["ls"]), vector_matrix(part["ss"]), num["lst"], num["sst"], num["t"])
-        if pool.k:
-            k = pool.k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pool.n[:k]), list_column(pool.ls[:k]), list_column(pool.ss[:k]), pa.array(pool.lst[:k]),
-                 pa.array(pool.sst[:k]), pa.array(pool.t[:k])], names=[f.name for f in LEFT_OVER.fields])
+def condense(left: DataFrame, *, d: int | None = None) -> DataFrame:
+    """Left-over features added up by cell: at most ``BINS ** AXES * SPANS`` rows, however many come in.
 
-    while rows > limits.fold_rows:
-        left = cut_lineage(left.mapInArrow(run, LEFT_OVER))
-        rows = left.count()
-        if rows > limits.fold_rows:
-            left = left.repartition(max(1, rows // limits.fold_rows), F.xxhash64("n", "ls"))
-    return left
+    The cells cut the range of the rows along ``AXES`` directions (the axes themselves, or fixed
+    random ones where there are more) and their time span into equal parts.  Both follow from the rows
+    alone, so the layout of the input does not matter, and sums are combined before the shuffle.
+    """
+    d = d or width_of(left, "ls")
+    if d == 0:
+        return left
+    directions = np.eye(d) if d <= AXES else np.random.default_rng(17).standard_normal((AXES, d))
+    centre = F.transform("ls", lambda v: v / F.col("n"))
+    along = {f"_p{k}": F.aggregate(F.zip_with(centre, F.array(*[F.lit(float(v)) for v in line]), lambda a, b: a * b), F.lit(0.0),
+                                   lambda a, b: a + b) for k, line in enumerate(directions)} | {"_t": F.col("t")}
+    laid = left.withColumns(along)
+    box = laid.agg(*[f(c).cast("double").alias(f"{n}{c}") for c in along for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    cell = F.lit(0).cast("long")
+    for name in along:
+        low, high, parts = box[f"lo{name}"], box[f"hi{name}"], SPANS if name == "_t" else BINS
+        if low is None or not high > low:
+            continue
+        place = F.floor((F.col(name) - low) / (high - low) * parts)
+        cell = cell * parts + F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.coalesce(place, F.lit(0))))
+    merged = cf_merge(laid.withColumn("mc_id", cell), d=d, extra=(F.max("t").alias("t"),))
+    return merged.select(*[f.name for f in LEFT_OVER.fields])
 
 
 # ---- decaying clusters: absorb within eps or be born -----------------------------------------------
@@ -330,43 +327,50 @@ BORN = T.StructType([f for f in DECAYING_CLUSTER.fields if f.name not in ("mc_id
 
 
 def _grow_clusters(rows: DataFrame, eps: float, lam: float, factor: float) -> DataFrame:
-    """Per task: rows in time order within each Arrow batch, one set of born clusters per task."""
+    """Born clusters of every cell; the rows of a cell stand together, in time order."""
 
     def run(batches):
-        born = Born(eps, lam, factor)
+        cell, born = None, Born(eps, lam, factor)
+        names = [f.name for f in BORN.fields]
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             ls, ss = vector_matrix(batch.column("ls")), vector_matrix(batch.column("ss"))
             w, t0, t = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("w", "t0", "t_last"))
-            order = np.lexsort(tuple(ls[:, j] for j in reversed(range(ls.shape[1]))) + (t,))
-            for i in order:
+            cells = batch.column("cell").to_pylist()
+            for i in range(batch.num_rows):
+                if cells[i] != cell:
+                    if born.k:
+                        yield pa.RecordBatch.from_arrays(born.columns(), names=names)
+                    cell, born = cells[i], Born(eps, lam, factor)
                 born.settle(w[i], ls[i], ss[i], t0[i], t[i])
-        cols = born.columns()
-        if cols:
-            yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in BORN.fields])
+        if born.k:
+            yield pa.RecordBatch.from_arrays(born.columns(), names=names)
 
     ship_package(rows.sparkSession)
-    return rows.select(*[f.name for f in BORN.fields]).mapInArrow(run, BORN)
+    return rows.select("cell", *[f.name for f in BORN.fields]).mapInArrow(run, BORN)
 
 
-def settle_born(left: DataFrame, *, eps: float, lam: float, factor: float = 1.0, limits: Limits = LIMITS) -> DataFrame:
+def settle_born(left: DataFrame, *, eps: float, lam: float, factor: float = 1.0, exact: bool = False) -> DataFrame:
     """(w, ls, ss, t0, t_last) of the o-clusters born from left-over rows.
 
-    Few rows are settled exactly, in time order, in one task.  Many are first grown where they
-    lie and then once more next to their spatial neighbours; if the clusters found are still
-    many they simply stay spread over the cluster: the model has no size limit.
+    Rows of one tick within a quarter of eps are added up, before the shuffle, so that a crowded place
+    becomes few rows.  The sums are then grown to clusters in time order, cell by cell of twice eps, and
+    what has grown once more in cells shifted by eps, which joins what a border kept apart.
+    ``exact=True`` settles row by row in one task.
     """
-    cells = F.transform(F.col("ls"), lambda v: F.floor(v / F.col("w") / (2 * eps)))
-    rows = left.count()
-    if rows > limits.fold_rows:
-        left = cut_lineage(_grow_clusters(left, eps, lam, factor))
-        left = cut_lineage(_grow_clusters(left.repartition(cells).sortWithinPartitions("t_last"), eps, lam, factor))
-        rows = left.count()
-        if rows > limits.fold_rows:
-            return left
-    ordered = left.coalesce(1).sortWithinPartitions("t_last", "ls")
-    return _grow_clusters(ordered, eps, lam, factor)
+    if exact:
+        ordered = left.withColumn("cell", F.lit(0).cast("long")).repartition(1).sortWithinPartitions("t_last", "ls")
+        return _grow_clusters(ordered, eps, lam, factor)
+    d = width_of(left, "ls")
+    place = F.transform("ls", lambda v: F.floor(v / F.col("w") / (eps / 4)))
+    near = left.groupBy(place.alias("_place"), "t_last").agg(
+        F.sum("w").alias("w"), vector_sum(F.col("ls"), d).alias("ls"), vector_sum(F.col("ss"), d).alias("ss"), F.min("t0").alias("t0"))
+    for shift in (0.0, 0.5):
+        place = F.transform("ls", lambda v: F.floor(v / F.col("w") / (2 * eps) + shift))
+        near = near.withColumn("cell", F.xxhash64(place)).repartition("cell").sortWithinPartitions("cell", "t_last", "ls")
+        near = _grow_clusters(near, eps, lam, factor)
+    return near
 
 
 def shrink(features: DataFrame, q: int, *, factor: float) -> DataFrame:

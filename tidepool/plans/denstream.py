@@ -16,6 +16,7 @@ from tidepool.operators.settle import settle_born
 from tidepool.schema import DECAYING_CLUSTER
 from tidepool.session import LIMITS, Limits, cut_lineage, width_of
 
+ORDERS = ("merge", "batch_time")
 PRUNE_MODES = ("period", "multiple", "every_batch", "every_4", "never")
 
 
@@ -39,8 +40,11 @@ class DenStreamParams:
     prune: str = "period"
     order: str = "merge"
     tick_step: int = 10_000
+    exact: bool = False  # let o-clusters be born row by row, in one task
 
     def __post_init__(self):
+        if self.order not in ORDERS:
+            raise ValueError(f"order must be one of {ORDERS}")
         if self.prune not in PRUNE_MODES:
             raise ValueError(f"prune must be one of {PRUNE_MODES}")
 
@@ -138,11 +142,12 @@ def step(state: DecayingState, batch: DataFrame, params: DenStreamParams, *, x:
     model = promote(merged.select(*FIELDS), params.p_floor)
     if seen["left"]:
         top = state.model.agg(F.coalesce(F.max("mc_id"), F.lit(-1)).alias("m")).first()["m"]
-        born = settle_born(parts.filter(missed), eps=params.eps, lam=params.lam, factor=params.t_factor, limits=limits)
-        if seen["left"] <= limits.fold_rows:
-            born = born.withColumn("mc_id", F.monotonically_increasing_id() + F.lit(top + 1))
-        else:
-            born = number_rows(born, ["t0", "ls"], "mc_id").withColumn("mc_id", F.col("mc_id") + F.lit(top + 1))
+        left = parts.filter(missed)
+        if params.recheck:
+            born = settle_born(left, eps=params.eps, lam=params.lam, factor=params.t_factor, exact=params.exact)
+        else:  # unchecked, every row is a cluster of its own
+            born = left.select("w", "ls", "ss", "t0", "t_last")
+        born = number_rows(born, ["t0", "ls"], "mc_id").withColumn("mc_id", F.col("mc_id") + F.lit(top + 1))
         fade = summary.decay(F.lit(now) - F.col("t_last"), params.lam)
         born = born.withColumn("kind", F.lit("o"))
         if params.recheck:

@@ -20,8 +20,7 @@ class Limits:
 
     block_rows / block_bytes   size of one broadcast piece of a model; larger models are
                                broadcast piece by piece, see ``operators.blocks``
-    fold_rows                  most rows one order-dependent fold may hold in one task; more
-                               are compacted in parallel first
+    fold_rows                  rows that a coreset is reduced to before its last round
     inline_terms               q*d up to which a model is inlined as column expressions
     """
 
@@ -111,6 +110,9 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def width_of(df: DataFrame, x: str = "x") -> int:
-    """Number of dimensions, read from one row."""
-    row = df.filter(F.col(x).isNotNull()).select(F.size(x).alias("d")).first()
-    return row["d"] if row else 0
+    """Number of dimensions; an error if the vectors differ in it (0 without vectors)."""
+    size = F.when(F.col(x).isNotNull(), F.size(x))
+    low, high = df.agg(F.min(size), F.max(size)).first()
+    if low != high:
+        raise ValueError(f"vectors of {low} to {high} dimensions in {x}")
+    return low or 0

@@ -15,6 +15,7 @@ class ModelStore:
     """Folders ``version=<n>`` below ``path``; keeps the last ``keep`` versions."""
 
     COMMIT = "_commit.json"
+    OWNER = "_owner"
 
     def __init__(self, spark: SparkSession, path: str, keep: int = 2):
         self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
@@ -31,6 +32,21 @@ class ModelStore:
         names = [s.getPath().getName() for s in fs.listStatus(root)]
         return sorted(int(n[8:]) for n in names if n.startswith("version=") and self.has(int(n[8:])))
 
+    def bind(self, owner: str) -> None:
+        """Tie the store to the checkpoint of one query; raise if it is another's."""
+        fs, path = self._at(self.OWNER)
+        if fs.exists(path):
+            held = self._text(path, fs)
+            if held != owner:
+                raise ValueError(f"{self.path} holds the models of the query with checkpoint {held}, not {owner}")
+            return
+        out = fs.create(path, True)
+        out.write(bytearray(owner.encode()))
+        out.close()
+
+    def _text(self, path, fs) -> str:
+        return self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(path), "UTF-8")
+
     def has(self, version: int) -> bool:
         fs, path = self._at(f"version={version}", self.COMMIT)
         return fs.exists(path)
@@ -52,8 +68,7 @@ class ModelStore:
 
     def meta(self, version: int) -> dict:
         fs, path = self._at(f"version={version}", self.COMMIT)
-        lines = self.spark._jvm.org.apache.commons.io.IOUtils.toString(fs.open(path), "UTF-8")
-        return json.loads(lines)
+        return json.loads(self._text(path, fs))
 
     def read(self, version: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/version={version}")

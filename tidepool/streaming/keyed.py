@@ -6,14 +6,16 @@ model over all rows, use a random key of a chosen width and merge the models.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from tidepool.operators.blocks import nearest_index
-from tidepool.operators.settle import Slots, compact, spread
+from tidepool.operators.blocks import nearest_index, nearest_other
+from tidepool.operators.settle import Slots, condense, spread
 from tidepool.plans.clustream import CluStreamParams
 from tidepool.session import ship_package
 
@@ -25,25 +27,35 @@ def _empty(q: int, d: int):
     return [np.zeros(q), np.zeros((q, d)), np.zeros((q, d)), np.zeros(q), np.zeros(q)]
 
 
-def fold_batch(model: list, now: float, x: np.ndarray, t: np.ndarray, params: CluStreamParams):
-    """One key's batch: absorb against the model before the batch, settle the rest in time order."""
+def fold_batch(model: list, now: float, chunks, params: CluStreamParams):
+    """One key's batch: absorb against the model before the batch, settle the rest in time order.
+
+    ``chunks`` yields (x, t) arrays.  How the rows are cut into chunks does not matter: all are held
+    against the same model, and only rows that no cluster takes are kept until the end.
+    """
     n, ls, ss, lst, sst = model
-    now = max(now, float(t.max()))
-    rest = np.arange(len(x))
     live = np.flatnonzero(n > 0)
-    if len(live):
-        idx, d2 = nearest_index(x, ls[live] / n[live, None])
-        i = live[idx]
-        radius = np.where(n[i] > 1, spread(np.maximum(n[i], 1), ls[i], ss[i], params.t_factor), 0.0)
-        ok = np.sqrt(d2) <= radius
-        for acc, v in ((n, np.ones(len(x))), (ls, x), (ss, x * x), (lst, t), (sst, t * t)):
-            np.add.at(acc, i[ok], v[ok])
-        rest = rest[~ok]
-    if len(rest):
+    centre = ls[live] / n[live, None]
+    # A single member has no spread; its radius is the distance to the nearest other centre.
+    radius = np.where(n[live] > 1, spread(np.maximum(n[live], 1), ls[live], ss[live], params.t_factor), nearest_other(centre))
+    more = [np.zeros_like(a) for a in model]
+    rest = []
+    for x, t in chunks:
+        now = max(now, float(t.max()))
+        ok = np.zeros(len(x), bool)
+        if len(live):
+            idx, d2 = nearest_index(x, centre)
+            ok = np.sqrt(d2) <= radius[idx]
+            for acc, v in zip(more, (np.ones(len(x)), x, x * x, t, t * t)):
+                np.add.at(acc, live[idx[ok]], v[ok])
+        rest.append((x[~ok], t[~ok]))
+    n, ls, ss, lst, sst = model = [a + b for a, b in zip(model, more)]
+    x, t = (np.concatenate(c) for c in zip(*rest))
+    if len(x):
         frame = pd.DataFrame({"mc_id": np.arange(len(n)), "n": n, "ls": list(ls), "ss": list(ss), "lst": lst, "sst": sst,
                               "ids": [[] for _ in n]})
         slots = Slots(frame, params.m, params.horizon, params.t_factor, now)
-        for i in rest[np.argsort(t[rest], kind="stable")]:
+        for i in np.lexsort((*x.T[::-1], t)):
             slots.settle((1.0, x[i], x[i] * x[i], t[i], t[i] * t[i]), params.recheck, True)
         model = [slots.n, slots.ls, slots.ss, slots.lst, slots.sst]
     return model, now
@@ -69,11 +81,11 @@ def keyed_clustream(stream: DataFrame, key: str, params: CluStreamParams, *, x:
             n, ls, ss, lst, sst, now = state.get
             d = len(ls) // q
             model = [np.array(n), np.array(ls).reshape(q, d), np.array(ss).reshape(q, d), np.array(lst), np.array(sst)]
-        for pdf in frames:
-            xs, ts = np.array(pdf["x"].tolist(), float), pdf["t"].to_numpy(float)
-            if model is None:
-                model = _empty(q, xs.shape[1])
-            model, now = fold_batch(model, now, xs, ts, params)
+        chunks = ((np.array(pdf["x"].tolist(), float), pdf["t"].to_numpy(float)) for pdf in frames if len(pdf))
+        if model is None:
+            first = next(chunks)
+            model, chunks = _empty(q, first[0].shape[1]), chain([first], chunks)
+        model, now = fold_batch(model, now, chunks, params)
         n, ls, ss, lst, sst = model
         state.update((n.tolist(), ls.ravel().tolist(), ss.ravel().tolist(), lst.tolist(), sst.tolist(), float(now)))
         state.setTimeoutDuration(span)
@@ -95,4 +107,4 @@ def merge_models(models: DataFrame, q: int, *, factor: float = 2.0) -> DataFrame
     from tidepool.operators.settle import shrink
 
     rows = models.filter("n > 0").select("n", "ls", "ss", "lst", "sst", (F.col("lst") / F.col("n")).alias("t"))
-    return shrink(compact(rows, cap=lambda: q, factor=factor), q, factor=factor)
+    return shrink(condense(rows), q, factor=factor)

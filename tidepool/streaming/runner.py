@@ -35,29 +35,34 @@ def run_online(stream: DataFrame, initial, step: Callable, store: ModelStore, ch
     state_type  class of the state, needed if ``initial`` is a function
     watch       called with (state, batch, batch_id) after each batch, e.g. to score it
     pyramid     (folder, alpha, l): also keep pyramidal snapshots by batch number
+
+    The store belongs to the checkpoint: another checkpoint on it, or a missing version, is an error.
     """
     timer = timer or PhaseTimer()
     if state_type is None:
         if callable(initial):
             raise ValueError("name the state_type when the initial state comes from the first batch")
         state_type = type(initial)
+    store.bind(checkpoint)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         version = batch_id + 1
-        if store.has(version):
+        latest = store.latest()
+        if latest == version:  # the batch was committed before its offset was
             return
+        if latest != (batch_id or None):
+            raise RuntimeError(f"batch {batch_id} needs version {batch_id} of {store.path}, whose last is {latest}: "
+                               "the store and the checkpoint do not belong together")
         with timer.phase("load"):
-            state = restore(store, state_type, batch_id) if batch_id else None
-            if state is None:
-                state = initial(batch) if callable(initial) else initial
+            state = restore(store, state_type, batch_id) if batch_id else initial(batch) if callable(initial) else initial
         with timer.phase("update"):
             state = step(state, batch, keep=lambda df: store.write(df, version))
             if not _wrote(store, version):
                 state.model = store.write(state.model, version)
+            if pyramid:  # before the commit, so that a replay after a crash writes it again
+                folder, alpha, l = pyramid  # noqa: E741
+                snapshots.save(state.model, folder, version, alpha, l)
             store.commit(version, _scalars(state))
-        if pyramid:
-            folder, alpha, l = pyramid  # noqa: E741
-            snapshots.save(state.model, folder, version, alpha, l)
         if watch:
             with timer.phase("watch"):
                 watch(state, batch, batch_id)
