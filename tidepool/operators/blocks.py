@@ -51,9 +51,12 @@ def vector_matrix(column, width: int | None = None) -> np.ndarray:
     if n == 0:
         return np.zeros((0, width or 0))
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if len(flat) % n:
+    d = len(flat) // n
+    if (np.diff(column.offsets.to_numpy()) != d).any():
         raise ValueError("vectors of different length in one batch")
-    return flat.reshape(n, len(flat) // n)
+    if width and d != width:
+        raise ValueError(f"vectors of {d} dimensions where {width} are needed")
+    return flat.reshape(n, d)
 
 
 def _to_block(table: pa.Table) -> Block:
@@ -70,21 +73,24 @@ def _to_block(table: pa.Table) -> Block:
 def read_blocks(model: DataFrame, order: str, limits: Limits = LIMITS) -> Iterator[Block]:
     """Yield the model piece by piece, each piece sorted by ``order``."""
     ship_package(model.sparkSession)
-    head = model.limit(limits.block_rows + 1).toArrow()
-    if head.num_rows <= limits.block_rows and head.nbytes <= limits.block_bytes:
+    # How many rows make a block follows from a few of them, before more are fetched.
+    probe = model.limit(64).toArrow()
+    row_bytes = max(1, probe.nbytes // max(1, probe.num_rows))
+    fits = max(1, min(limits.block_rows, limits.block_bytes // row_bytes))
+    head = model.limit(fits + 1).toArrow() if probe.num_rows == 64 else probe
+    if head.num_rows <= fits and head.nbytes <= limits.block_bytes:
         yield _to_block(head.sort_by(order))
         return
     kept = model.persist()
-    rows = kept.count()
-    row_bytes = max(1, head.nbytes // max(1, head.num_rows))
-    per_block = max(1, min(limits.block_rows, limits.block_bytes // row_bytes) // 2)
-    pieces = -(-rows // per_block)
-    bucket = F.pmod(F.xxhash64(F.col(order)), F.lit(pieces))
-    for i in range(pieces):
-        piece = kept.filter(bucket == i).toArrow()
-        if piece.num_rows:
-            yield _to_block(piece.sort_by(order))
-    kept.unpersist()
+    try:
+        pieces = -(-kept.count() // max(1, fits // 2))
+        bucket = F.pmod(F.xxhash64(F.col(order)), F.lit(pieces))
+        for i in range(pieces):
+            piece = kept.filter(bucket == i).toArrow()
+            if piece.num_rows:
+                yield _to_block(piece.sort_by(order))
+    finally:
+        kept.unpersist()
 
 
 def list_column(matrix: np.ndarray) -> pa.Array:
@@ -134,6 +140,13 @@ def nearest_index(x: np.ndarray, c: np.ndarray, cells: int = 1 << 20) -> tuple[n
     n, q = len(x), len(c)
     idx = np.zeros(n, np.int64)
     best = np.full(n, np.inf)
+    usable = np.isfinite(c).all(axis=1)
+    if not usable.all():  # a centre without numbers is infinitely far
+        where = np.flatnonzero(usable)
+        if len(where):
+            idx, best = nearest_index(x, c[where], cells)
+            idx = where[idx]
+        return idx, best
     step = max(1, cells // max(1, q))
     wide = x.shape[1] > 12
     c_norm = (c * c).sum(axis=1) if wide else None
