@@ -11,18 +11,21 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
-    """Line items as 3-d timed points: x, t (day), tile (a coarse starting cluster)."""
+    """Line items as 3-d timed points: x, t (day), tile (a coarse starting cluster).
+
+    All components are whole numbers over a power of two, so that their sums do not depend on the order.
+    """
     li = table(spark, sf, "lineitem")
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("long")
     tile = (F.floor(F.col("l_quantity") / 12.5) * 100 + F.floor(F.col("l_discount") / 0.035) * 10
             + F.floor(F.col("l_tax") / 0.03)).cast("long")
     return li.select(
-        F.array(F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12.5).alias("x"),
+        F.array(F.col("l_quantity") / 64, F.rint(F.col("l_discount") * 100) / 8, F.rint(F.col("l_tax") * 100) / 8).alias("x"),
         day.alias("t"), tile.alias("tile"), "l_returnflag", "l_linenumber")
 
 
 ITEMS = """items AS (
-  SELECT l_quantity / 50 AS x0, l_discount * 10 AS x1, l_tax * 12.5 AS x2,
+  SELECT l_quantity / 64 AS x0, round_even(l_discount * 100, 0) / 8 AS x1, round_even(l_tax * 100, 0) / 8 AS x2,
          date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS t,
          CAST(floor(l_quantity / 12.5) * 100 + floor(l_discount / 0.035) * 10 + floor(l_tax / 0.03) AS BIGINT) AS tile,
          l_returnflag, l_linenumber
@@ -79,13 +82,13 @@ def label_model(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r6(col, name: str):
-    """Rounded to six places, without negative zero."""
+    """Rounded to six places, halves to even as in the SQL twins, without negative zero."""
     c = F.col(col) if isinstance(col, str) else col
-    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+    return (F.rint(c * 1e6) / 1e6 + F.lit(0.0)).alias(name)
 
 
 def sql_r6(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 AS {name}"
+    return f"round_even(({expr}) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS {name}"
 
 
 class Registry:

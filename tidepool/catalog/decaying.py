@@ -8,6 +8,7 @@ from tidepool.catalog.data import ITEMS, Registry, items, r6, sql_r6
 from tidepool.functions import summary
 from tidepool.operators import assign, cf, fold
 from tidepool.plans import clustream, denstream, dstream, streaming_kmeans
+from tidepool.session import fresh_dir
 
 registry = Registry()
 add = registry.add
@@ -124,10 +125,16 @@ def streaming_kmeans_update(spark, sf):
 
 
 def _years(spark, sf):
-    pts = items(spark, sf).withColumn("year", F.floor(F.col("t") / 365).cast("int"))
-    top = pts.agg(F.max("year").alias("y")).first()["y"]
-    for y in range(top + 1):
-        yield pts.filter(F.col("year") == y).drop("year")
+    """Batches by year, the earliest first; rows without a date come with the first day.
+
+    Written once by year, so that a batch reads its own rows only.
+    """
+    path = fresh_dir(spark, "years")
+    pts = items(spark, sf).withColumn("t", F.coalesce("t", F.lit(0)))
+    pts.withColumn("year", F.floor(F.col("t") / 365).cast("int")).write.partitionBy("year").parquet(path)
+    kept = spark.read.parquet(path)
+    for year in sorted(r["year"] for r in kept.select("year").distinct().collect()):
+        yield kept.filter(F.col("year") == year).drop("year")
 
 
 def _tile_start(spark, sf):
@@ -158,7 +165,7 @@ def clustream_run_batch_time(spark, sf):
 
 @add("denstream_run")
 def denstream_run(spark, sf):
-    """Initial density clusters from all positions, then yearly batches with pruning."""
+    """Initial clusters by k-means from all positions, then yearly batches with pruning."""
     pts = items(spark, sf)
     start = denstream.init_kmeans(pts, 20, seed=5)
     state = denstream.DecayingState(start)

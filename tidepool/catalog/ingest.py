@@ -33,7 +33,7 @@ def parse_untimed(spark, sf):
 
 
 @add("parse_labelled", """
-SELECT label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 6) + 0.0 AS s0, round(sum(embedding[64]::DOUBLE), 6) + 0.0 AS s63
+SELECT label, count(*) AS n, round_even((sum(embedding[1]::DOUBLE)) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS s0, round_even((sum(embedding[64]::DOUBLE)) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS s63
 FROM embeddings GROUP BY label""")
 def parse_labelled(spark, sf):
     v = vectors(spark, sf)
@@ -56,8 +56,8 @@ def parse_example(spark, sf):
 
 
 @add("parse_sparse", """
-SELECT event_id, 0.0::DOUBLE AS v0, round(value, 6) + 0.0 AS v1,
-       user_id::DOUBLE AS v4, round(value * value + user_id * user_id, 6) + 0.0 AS norm2 FROM events""")
+SELECT event_id, 0.0::DOUBLE AS v0, round_even((value) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS v1,
+       user_id::DOUBLE AS v4, round_even((value * value + user_id * user_id) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS norm2 FROM events""")
 def parse_sparse(spark, sf):
     lines = visits(spark, sf).select("event_id", F.concat(
         F.lit("2:"), F.col("value").cast("string"), F.lit(",5:"), F.col("user_id").cast("string")).alias("value"))
@@ -97,10 +97,10 @@ WITH v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
 l AS (SELECT vec_id, unnest(generate_series(0, 63)) AS dim, unnest(x) AS v FROM v),
 m AS (SELECT dim, avg(v) AS c FROM l GROUP BY dim)
-SELECT vec_id, round(sum(v * c), 6) + 0.0 AS dot, round(sqrt(sum((v - c) * (v - c))), 6) + 0.0 AS dist,
-       round(sum(v + c), 6) + 0.0 AS added, round(sum(v * v * c), 6) + 0.0 AS had_dot,
-       round(sqrt(sum((CASE WHEN v > 0 THEN v ELSE 0 END - c) * (CASE WHEN v > 0 THEN v ELSE 0 END - c))), 6) + 0.0 AS sparse_dist,
-       round(sum(CASE WHEN v > 0 THEN v * v ELSE 0 END), 6) + 0.0 AS sparse_dot
+SELECT vec_id, round_even((sum(v * c)) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS dot, round_even((sqrt(sum((v - c) * (v - c)))) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS dist,
+       round_even((sum(v + c)) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS added, round_even((sum(v * v * c)) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS had_dot,
+       round_even((sqrt(sum((CASE WHEN v > 0 THEN v ELSE 0 END - c) * (CASE WHEN v > 0 THEN v ELSE 0 END - c)))) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS sparse_dist,
+       round_even((sum(CASE WHEN v > 0 THEN v * v ELSE 0 END)) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS sparse_dot
 FROM l JOIN m USING (dim) GROUP BY vec_id""")
 def vector_algebra(spark, sf):
     v = vectors(spark, sf)
@@ -115,7 +115,7 @@ def vector_algebra(spark, sf):
 
 
 @add("example_edit", """
-SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS f0, -1.0::DOUBLE AS f5, label::DOUBLE AS l0, 2.5::DOUBLE AS weight,
+SELECT vec_id, round_even((embedding[1]::DOUBLE) * 1000000.0::DOUBLE, 0) / 1000000.0::DOUBLE + 0.0 AS f0, -1.0::DOUBLE AS f5, label::DOUBLE AS l0, 2.5::DOUBLE AS weight,
        (label * 2)::DOUBLE AS l0_new FROM embeddings""")
 def example_edit(spark, sf):
     ex = vectors(spark, sf).select("vec_id", "x", F.array(F.col("label").cast("double")).alias("y"), F.lit(1.0).alias("weight"))
