@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ingest", "summaries", "offline", "decaying", "mapping"]
+MODULES = ["ingest", "summaries", "offline", "decaying", "mapping", "runs"]
 
 
 def registries():
