@@ -140,7 +140,7 @@ def nearest_index(x: np.ndarray, c: np.ndarray, cells: int = 1 << 20) -> tuple[n
     n, q = len(x), len(c)
     idx = np.zeros(n, np.int64)
     best = np.full(n, np.inf)
-    usable = np.isfinite(c).all(axis=1)
+    usable = np.isfinite(c).all(axis=1) & (c.shape[1] == x.shape[1] > 0)  # a block of NULL centres has no width
     if not usable.all():  # a centre without numbers is infinitely far
         where = np.flatnonzero(usable)
         if len(where):
