@@ -44,6 +44,19 @@ def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return shingles.join(table(spark, sf, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+OP5_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\x0b\f]+'), lambda x: x <> '') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE k / (p.n + q.n - k) >= 0.8),
+reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x),
+counts AS (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, doc_id = class_id AS kept FROM classes LEFT JOIN counts USING (doc_id)"""
+
+
 def op6_secrets(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import secrets
 
@@ -118,4 +131,4 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard,
             "op6_secrets": op6_secrets, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_urls": op9_urls,
            "op10_packing": op10_packing}
-SQL: dict[str, str] = {"op7_topk": OP7_SQL, "op9_urls": OP9_SQL}
+SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op7_topk": OP7_SQL, "op9_urls": OP9_SQL}
