@@ -38,6 +38,17 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
                     (F.col("quality_score") >= 0.5).cast("int").alias("predicted")))
 
 
+OP3_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+  FROM embeddings WHERE embedding IS NOT NULL),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0
+  AND list_dot_product(a.v, b.v) / (a.n * b.n) >= 0.9),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+classes AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM classes LEFT JOIN counts USING (vec_id)"""
+
+
 def op5_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     from tidepool.llm import shingles
 
@@ -131,4 +142,4 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard,
             "op6_secrets": op6_secrets, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_urls": op9_urls,
            "op10_packing": op10_packing}
-SQL: dict[str, str] = {"op5_jaccard": OP5_SQL, "op7_topk": OP7_SQL, "op9_urls": OP9_SQL}
+SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_topk": OP7_SQL, "op9_urls": OP9_SQL}
