@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepool.operators.blocks import map_batches, read_blocks, squared_distances, vector_matrix
+from tidepool.operators.blocks import read_blocks, squared_distances, vector_matrix
 from tidepool.session import LIMITS, Limits
 
 
