@@ -4,7 +4,8 @@ Each stage reads what the one before wrote.  All but the last return the columns
 
 1. ``language`` drops texts in no learned language (null, without a letter, or with both decisions close to a toss-up).
 2. ``toxicity`` drops texts scored toxic, with the threshold of the operator's query.
-3. ``near_duplicates`` keeps one document, the smallest id, of each class of copies and near copies; repeated rows of it once.
+3. ``near_duplicates`` keeps one text, of the smallest id, of each class of copies and near copies; repeated rows of it once.
+   Texts are judged, not ids: an id on rows with different texts keeps those that have no copy at a smaller id.
 4. ``secrets`` masks every secret in the texts and keeps all documents.
 5. ``packing`` returns the pieces of all documents with their places in sequences.
 
@@ -36,12 +37,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = keep(shingles.join(docs), "classes")
-    stay = (classes.filter("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
-            .agg(F.min("class_id").alias("class_id"), F.count("*").alias("_rows")).filter("_id = class_id").select("_id", "_rows"))
-    kept = docs.join(stay.hint("shuffle_hash"), docs["doc_id"] == stay["_id"])
+    classes = keep(shingles.judge(docs), "classes")
+    stay = (classes.filter("doc_id is not null and first").groupBy(F.col("doc_id").alias("_id"), F.col("whole").alias("_whole"))
+            .agg(F.count("*").alias("_rows")))
+    kept = docs.withColumn("_text", shingles.whole(F.col("text"))).join(
+        stay.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_whole")))
     once = kept.filter("_rows = 1").select(*docs.columns)
-    repeated = kept.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    repeated = kept.filter("_rows > 1").dropDuplicates(["_id", "_whole"]).select(*docs.columns)
     return once.unionByName(repeated).unionByName(docs.filter("doc_id is null"))
 
 

@@ -88,3 +88,14 @@ def test_empty_corpus(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_every_text_keeps_a_representative(spark):
+    """Ids on rows with different texts, one of which has a copy or a near copy elsewhere."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (9, b), (9, c), (9, d), (11, c + " more"), (12, d), (12, d), (3, d + " end"), (7, None), (7, ""), (7, ""), (None, a)]
+    rows += [(20, f"{i} " + " ".join(f"x{i}y{j}" for j in range(20))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    want = [(1, a), (5, b), (9, c), (3, d + " end"), (7, None), (7, ""), (None, a), *rows[14:]]
+    assert sorted(got, key=str) == sorted(want, key=str)

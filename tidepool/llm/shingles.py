@@ -14,8 +14,8 @@ shingle).  Two texts are linked if the Jaccard similarity of their shingle sets
    ``block_shingles`` or ``block_texts`` is dealt to blocks and each pair of blocks is a task's own work; nothing is emitted by pair.
 
 Result: one row per document with its class (smallest key reachable by links) and its number of linked documents, copies
-included.  Null and blank texts have no shingles and link with nothing.  Rows of one key count as one document: they share
-a class.  Rows with a null key get class null and no links.
+included.  Null and blank texts have no shingles and link with nothing.  Texts are judged, not keys: rows of one key with
+different texts have the class and links of their own text.  Rows with a null key get class null and no links.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import keep, slices, texts_of
@@ -119,8 +119,13 @@ def words_key(data: bytes) -> bytes:
     return xxhash.xxh3_128_digest(b" ".join(data.split()))
 
 
+def whole(text) -> Column:
+    """Digest of a text as it stands."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def paths(docs: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
-    """(id, copy, n, nodes) of every row with a key: hash of its words, number of shingles, trie nodes."""
+    """(id, whole, copy, n, nodes) of every row with a key: digest of the text, hash of its words, number of shingles, trie nodes."""
     depth = forest.matched_depth
 
     def run(batches):
@@ -136,12 +141,12 @@ def paths(docs: DataFrame, forest: Forest, key: str, text: str) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum([len(x) for x in nodes])]).astype(np.int32)
             flat = np.concatenate(nodes) if nodes else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(copy, pa.binary()), pa.array(count, pa.int32()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "copy", "n", "nodes"])
+                [part.column(0), part.column(1), pa.array(copy, pa.binary()), pa.array(count, pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "whole", "copy", "n", "nodes"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(docs[key].alias("id"), docs[text].alias("text")).filter("id is not null")
-    return rows.mapInArrow(run, f"id {kind}, copy binary, n int, nodes array<bigint>")
+    rows = docs.select(docs[key].alias("id"), whole(docs[text]).alias("whole"), docs[text].alias("text")).filter("id is not null")
+    return rows.mapInArrow(run, f"id {kind}, whole binary, copy binary, n int, nodes array<bigint>")
 
 
 def compare(sets: list[np.ndarray], copies: np.ndarray, threshold: float,
@@ -224,39 +229,54 @@ def _verify(forest: Forest):
 
 def join(docs: DataFrame, forest: Forest = Forest(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n_links) of every row; ``key`` is a whole number."""
+    return judge(docs, forest, key=key, text=text).select(key, "class_id", "n_links")
+
+
+def judge(docs: DataFrame, forest: Forest = Forest(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, whole, class_id, n_links, first) of every row.
+
+    ``whole`` is the digest of the text and ``first`` says whether (key, whole) stands for its class: one such pair in each
+    class, and every row without shingles or key.
+    """
     ship_package(docs.sparkSession)
     docs = docs.select(docs[key].cast("long").alias("id"), docs[text].alias("text"))
     path = keep(paths(docs, forest, "id", "text"), "paths")
-    copies = keep(path.groupBy("copy").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n")), "copies")
+    # Every set of copies has a number of its own, in the order of its smallest row: one key may stand on several texts.
+    copies = keep(path.groupBy("copy").agg(F.min(F.struct("id", "whole")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
+                  .select("copy", F.col("rep.id").alias("rep"), F.col("rep.whole").alias("whole"), "copies", "n")
+                  .orderBy("rep", "whole").withColumn("number", F.monotonically_increasing_id()), "copies")
     # One text of each set of copies is below a node of every tree.
-    below = (path.filter("n > 0").join(copies.select("copy", F.col("rep").alias("id")), ["copy", "id"], "left_semi")
-             .select("id", F.explode("nodes").alias("node")))
+    below = (path.filter("n > 0").join(copies.select("copy", F.col("rep").alias("id"), "whole", "number"), ["copy", "id", "whole"])
+             .select(F.col("number").alias("id"), F.explode("nodes").alias("node")))
     tops = below.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
     ties = keep(below.join(tops, "node").filter("id > low").select(F.col("id").alias("src"), F.col("low").alias("dst")).distinct(),
                 "ties")
     groups = connected_components(ties.select(F.col("src").alias("node")).union(ties.select("dst")), ties)
-    member = keep(groups.join(copies.filter("n > 0").withColumnRenamed("rep", "node"), "node").withColumnRenamed("node", "rep"),
-                  "members")
+    member = keep(groups.withColumnRenamed("node", "number").join(copies.filter("n > 0"), "number"), "members")
     total = (member.groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
              .select("component", F.greatest(F.ceil(F.col("shingles") / forest.block_shingles),
                                              F.ceil(F.col("texts") / forest.block_texts)).cast("int").alias("blocks")))
-    parts = (member.join(total, "component").withColumn("side", F.pmod(F.hash("rep", F.lit(5)), "blocks"))
+    parts = (member.join(total, "component").withColumn("side", F.pmod(F.hash("copy", F.lit(5)), "blocks"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("component", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"),
-                     "rep", "copy", "copies", "side"))
-    found = keep(docs.join(parts.hint("shuffle_hash"), docs["id"] == parts["rep"])
-                 .select("component", "a", "b", "rep", "copy", "copies", "side", "text")
+                     "number", "rep", "whole", "copy", "copies", "side"))
+    found = keep(docs.withColumn("whole", whole(F.col("text"))).withColumnRenamed("id", "rep").join(parts.hint("shuffle_hash"), ["rep", "whole"])
+                 .select("component", "a", "b", "number", "copy", "copies", "side", "text")
                  .repartition("component", "a", "b").sortWithinPartitions("component", "a", "b")
                  .mapInArrow(_verify(forest), "id long, links long, root long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     edges = found.filter("root <> id").select(F.col("id").alias("src"), F.col("root").alias("dst"))
     classes = connected_components(links.select(F.col("id").alias("node")), edges).select(
-        F.col("node").alias("rep"), F.col("component").alias("class"))
-    known = copies.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(classes, "rep", "left").select(
-        "copy", F.when(F.col("n") > 0, F.coalesce("class", "rep")).alias("class"),
+        F.col("node").alias("number"), F.col("component").alias("root"))
+    # Numbers follow the keys, so the smallest number of a class has its smallest key.
+    classes = classes.join(copies.select(F.col("number").alias("root"), F.col("rep").alias("class")), "root")
+    known = copies.join(links.withColumnRenamed("id", "number"), "number", "left").join(classes, "number", "left").select(
+        "copy", "rep", F.col("whole").alias("_whole"), F.when(F.col("n") > 0, F.coalesce("class", "rep")).alias("class"),
+        (F.coalesce("root", "number") == F.col("number")).alias("root"),
         F.when(F.col("n") > 0, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).alias("links"))
-    rows = path.select("id", "copy").join(known, "copy").select(
-        F.col("id").alias(key), F.coalesce("class", "id").alias("class_id"), F.col("links").cast("long").alias("n_links"))
-    lost = docs.filter("id is null").select(F.col("id").alias(key), F.col("id").alias("class_id"),
-                                            F.lit(0).cast("long").alias("n_links"))
+    rows = path.select("id", "whole", "copy").join(known, "copy").select(
+        F.col("id").alias(key), "whole", F.coalesce("class", "id").alias("class_id"), F.col("links").cast("long").alias("n_links"),
+        (F.col("class").isNull() | F.col("root") & (F.col("id") == F.col("rep")) & (F.col("whole") == F.col("_whole"))).alias("first"))
+    lost = docs.filter("id is null").select(F.col("id").alias(key), whole(F.col("text")).alias("whole"), F.col("id").alias("class_id"),
+                                            F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
     return rows.unionByName(lost)
