@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tidepool.llm import bpe, langid, quality, queries, toxicity
 
 ODD = [None, "", " ", "\n\n", "a", "  two  blanks ", "<|endoftext|>x<|endoftext|>", "日本語 text\t\ttabs", "…" * 50, "'ll 'LL don't", "1234567 890",
@@ -82,6 +83,30 @@ def test_toxicity_held_out(spark):
     assert p[y == 1].mean() > 0.7 and p[y == 0].mean() < 0.06
 
 
+def test_toxic_stage_recall(spark):
+    """What the pipeline's stage drops of the labelled texts of each language, and of the held-out texts of the query."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels.select("doc_id", "toxic"), "doc_id")
+    stay = {r["doc_id"] for r in corpus_pipeline.toxic(spark, docs, sf).select("doc_id").collect()}
+    rows = docs.select("doc_id", "toxic", "lang").collect()
+    assert np.mean([r["doc_id"] in stay for r in rows if r["toxic"] == 0]) > 0.96
+    assert np.mean([r["doc_id"] not in stay for r in rows if r["toxic"] == 1]) > 0.83
+    for lang in ("en", "fr", "de", "es"):
+        assert np.mean([r["doc_id"] not in stay for r in rows if r["toxic"] == 1 and r["lang"] == lang]) > 0.6, lang
+    y, p = held_out(queries.op2_toxicity(spark, sf), labels, "toxic")
+    assert p[y == 1].mean() > 0.75
+
+
+def test_spellings_without_a_count():
+    draw = random.Random(3)
+    made = lambda letters, k: ["".join(draw.choice(letters) for _ in range(8)) for _ in range(k)]
+    words = made("bcdfgkmp", 100)
+    toxic, clean = ([" ".join(made("etaoinshr", 100) + draw.sample(words, k)) for _ in range(n)] for k, n in ((40, 60), (0, 600)))
+    found = toxicity.telling_spellings(toxic, clean)
+    assert len(found) > 64
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = queries.op8_langid(spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()

@@ -2,15 +2,16 @@
 
 Two zstandard dictionaries are trained.  The ordinary one comes from windows of ordinary texts.  The toxic one has the same
 content behind the spellings that set toxic texts apart: words and word beginnings whose document frequency in toxic texts is
-significantly above that in ordinary texts.  So both explain ordinary prose alike, and the difference of the compressed
-lengths of a window, its gain, comes from toxic spellings only.
+significantly above that in ordinary texts, however many they are.  So both explain ordinary prose alike, and the difference
+of the compressed lengths of a window, its gain, comes from toxic spellings only.  A dictionary trained on windows of toxic texts
+explains mostly the prose around those spellings and tells almost nothing (figures in the README).
 
 A text is cut at blanks into windows of about ``WINDOW`` bytes, whole, and scored by a logistic function of the gains: the
-largest ones, sums above thresholds and shares of windows above thresholds.  Its weights are calibrated on labelled texts that no
-dictionary has seen, weighted back to the share of toxic texts among all labelled ones.
+largest ones, sums above thresholds and shares of windows above thresholds.  Its weights are calibrated on gains of texts that the
+dictionaries used for them have not seen, weighted back to the share of toxic texts among all labelled ones.
 
-The fit takes at most ``rows_per_label`` texts of each label for the dictionaries and as many for the calibration, drawn by a hash
-of the key.  Scoring is one narrow pass.  A null text counts as empty; an empty text is scored as one without gains.  Rows
+The fit takes at most twice ``rows_per_label`` texts of each label, drawn by a hash of the key.  Each half is calibrated with
+dictionaries of the other; the dictionaries of the model come from both.  Scoring is one narrow pass.  A null text counts as empty; an empty text is scored as one without gains.  Rows
 with a null label teach nothing; if a label is missing altogether, every score is the share of the other (0.5 without labels).
 """
 
@@ -33,10 +34,10 @@ from tidepool.session import ship_package
 
 WINDOW = 64  # bytes
 SLACK = 40  # bytes by which a window may grow to end at a blank
-LEVEL = 9
-DICTIONARY_BYTES = 8192
-SPELLINGS = 64  # spellings in the toxic dictionary
-LEAST_Z = 5.5  # standard errors by which their document frequencies must differ
+LEVEL = 12
+DICTIONARY_BYTES = 57344  # what it lacks of ordinary prose is noise in the gains; with the spellings it stays within a window of 64 KB
+LEAST_Z = 4.5  # standard errors by which the document frequencies of a spelling must differ
+LEAST_RATIO = 20  # and how many times as frequent it must be in toxic texts
 WORD = re.compile(r"\w+")
 STEM = range(4, 9)
 
@@ -54,7 +55,7 @@ def windows(text: str) -> list[bytes]:
     return out
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=6)
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     known.precompute_compress(level=LEVEL)
@@ -125,13 +126,13 @@ def telling_spellings(toxic: list[str], ordinary: list[str]) -> list[str]:
         p, q = k / n, o[s] / m
         both = (k + o[s] + 1) / (n + m + 2)
         z = (p - q) / math.sqrt(both * (1 - both) * (1 / n + 1 / m) + 1e-12)
-        if z >= LEAST_Z and p >= 4 * q and len(s) >= 4:
+        if z >= LEAST_Z and p >= LEAST_RATIO * q and len(s) >= 4:
             ranked.append((-z, -len(s), s))
     found = {s: -z for z, _, s in ranked}
     chosen: list[str] = []
     for _, _, s in sorted(ranked):
         stem = s.rstrip("*")
-        if len(chosen) >= SPELLINGS or any(stem.startswith(c.strip()) or c.startswith(" " + stem) for c in chosen):
+        if any(stem.startswith(c.strip()) or c.startswith(" " + stem) for c in chosen):
             continue
         # the longest spelling with that beginning that tells almost as much; a whole word takes its blanks along
         longest = max((x for x, z in found.items() if x.startswith(stem) and z >= 0.9 * found[s]), key=lambda x: (len(x), found[x], x))
@@ -153,12 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
         halves[r[0], sum(r[1].encode("utf-8", "surrogatepass")) % 2].append(r[1])
     if not all(halves.values()):
         return ToxicityModel(share=share)
-    plain = [w for t in halves[0, 0] for w in windows(t)]
-    ordinary = _trained(plain, DICTIONARY_BYTES)
-    spellings = telling_spellings(halves[1, 0], halves[0, 0])
-    model = ToxicityModel(ordinary, "".join(reversed(spellings)).encode() + ordinary, share=share)
-    held = [(t, v) for v in (0, 1) for t in halves[v, 1]]
-    x = np.stack([profile(model.gains(t)) for t, _ in held])
+    model = _dictionaries(halves[1, 0] + halves[1, 1], halves[0, 0] + halves[0, 1], share)
+    other = [_dictionaries(halves[1, 1 - h], halves[0, 1 - h], share) for h in (0, 1)]
+    held = [(profile(other[h].gains(t)), v) for h in (0, 1) for v in (0, 1) for t in halves[v, h]]
+    x = np.stack([p for p, _ in held])
     y = np.array([v for _, v in held], np.float64)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
@@ -166,6 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     return model
 
 
+def _dictionaries(toxic: list[str], clean: list[str], share: float) -> ToxicityModel:
+    ordinary = _trained([w for t in clean for w in windows(t)], DICTIONARY_BYTES)
+    spellings = telling_spellings(toxic, clean)
+    return ToxicityModel(ordinary, "".join(reversed(spellings)).encode() + ordinary, share=share)
+
+
 def _trained(samples: list[bytes], size: int) -> bytes:
     step = max(1, len(samples) // 20_000)
     samples = samples[::step]
