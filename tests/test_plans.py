@@ -133,6 +133,28 @@ def test_condensing_conserves_weight_and_is_bounded(spark):
     assert settle.condense(left.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("d", [2, 5])
+def test_skewed_left_over_rows_are_settled_as_by_the_sequential_rule(spark, d):
+    """Extreme rows and a very old tick do not widen the cells: groups far apart stay apart, whatever the range."""
+    rng = np.random.default_rng(5)
+    groups = rng.integers(-400, 400, (6, d)) / 4
+    x = np.array([groups[k % 6] + rng.integers(-4, 4, d) / 1024 for k in range(60)] + [np.full(d, 1e6), np.full(d, -1e7)])
+    t = [5 + k % 3 for k in range(60)] + [6, -10 ** 6]
+    centres = 1000 + rng.integers(-40, 40, (14, d)) / 4
+    params = cl.CluStreamParams(q=14, m=5, horizon=3.0)
+    model = start(spark, centres).model.withColumns({"n": F.lit(8.0), "ls": F.expr("transform(ls, v -> 8 * v)"), "ss": F.expr("transform(ss, v -> 8 * v + 0.125)")})
+    got, want = ({k: np.array([r["n"], *r["ls"]]) for k, r in enumerate(sorted(
+        cl.step(cl.Clustering(model), timed(spark, x, t), replace(params, exact=exact)).model.filter("n > 0").select("n", "ls").collect()))} for exact in (False, True))
+    assert len(got) == len(want) and all(np.allclose(got[k], want[k], rtol=1e-9) for k in want)
+
+
+def test_cells_of_odd_numbers(spark):
+    """Infinity and not a number are places of their own, and small batches of far-apart rows are not added up."""
+    rows = [(1.0, [v, 0.0], [v * v, 0.0], 1.0, 1.0, 1.0) for v in (0.0, 0.5, 0.001, 1e300, float("inf"), float("nan"))]
+    out = settle.condense(spark.createDataFrame(rows, settle.LEFT_OVER), width=0.25, span=1.0)
+    assert sorted(r["n"] for r in out.collect()) == [1.0] * 4 + [2.0]
+
+
 def test_step_is_the_same_for_every_limit_and_layout(spark):
     """No row count or layout switches to another rule."""
     rng = np.random.default_rng(31)

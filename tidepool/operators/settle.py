@@ -1,7 +1,7 @@
 """The order-dependent part of the online step: where the rows go that no cluster took.
 
 Rows arrive as cluster features (a single point has count 1).  One rule holds for every size: rows
-that lie close in space and time are added up first, by cells that do not depend on the layout,
+that lie close in space and time, by the scale of the model's radii, are added up first, by cells that do not depend on the layout,
 and the sums are settled in time order.  Counts and sums are conserved.  ``exact=True`` leaves
 the first step out: every row is settled by itself, in one task, which is the caller's choice and
 only meant for bounded input.
@@ -158,7 +158,8 @@ def settle_in_slots(model: DataFrame, left: DataFrame, *, now: float, m: float,
     deletable cluster, or takes the slot freed by merging the closest pair.
     """
     ship_package(model.sparkSession)
-    left = left if exact else condense(left)
+    width = None if exact else radius_scale(model, factor)
+    left = left if width is None else condense(left, width=width, span=horizon / SPANS)
     rows = left.select(F.lit(1).alias("_k"), "n", "ls", "ss", "lst", "sst", "t")
     base = model.select(F.lit(1).alias("_k"), "mc_id", "n", "ls", "ss", "lst", "sst", "ids")
 
@@ -251,8 +252,21 @@ class Pool:
 AXES, BINS, SPANS = 3, 16, 8
 
 
-def condense(left: DataFrame, *, d: int | None = None) -> DataFrame:
-    """Left-over features added up by cell: at most ``BINS ** AXES * SPANS`` rows, however many come in.
+def radius_scale(features: DataFrame, factor: float) -> float | None:
+    """Median radius of the features with a spread, as a power of two (round-off in the sums moves no cell); None without any."""
+    var = F.zip_with("ss", "ls", lambda s, v: F.greatest(s / F.col("n") - (v / F.col("n")) ** 2, F.lit(0.0)))
+    radius = factor * F.sqrt(F.aggregate(var, F.lit(0.0), lambda a, b: a + b))
+    found = features.filter("n > 1").select(radius.alias("r")).filter("r > 1e-20 and r < double('inf')").agg(F.median("r")).first()[0]
+    return None if found is None else 2.0 ** math.floor(math.log2(found))
+
+
+def condense(left: DataFrame, *, d: int | None = None, width: float | None = None, span: float = math.inf) -> DataFrame:
+    """Left-over features added up by cell.
+
+    With ``width``, a radius, the cells have a quarter of it as their diagonal and last ``span`` (ticks stay apart if it is 0): rows
+    further apart are never added up, and there are as many sums as occupied cells.  Not a number and infinity are places of their own.
+
+    Without a radius to go by there are at most ``BINS ** AXES * SPANS`` rows, however many come in.
 
     The cells cut the range of the rows along ``AXES`` directions (the axes themselves, or fixed
     random ones where there are more) and their time span into equal parts.  Both follow from the rows
@@ -261,6 +275,16 @@ def condense(left: DataFrame, *, d: int | None = None) -> DataFrame:
     d = d or width_of(left, "ls")
     if d == 0:
         return left
+    if width is not None:
+        def place(v, size):
+            q = v / F.lit(size)
+            return F.when(F.abs(q) < 2.0 ** 52, F.floor(q).cast("double")).otherwise(q)
+
+        size = 2.0 ** math.floor(math.log2(width / 4 / math.sqrt(d)))
+        tick = place(F.col("t"), span) if 0 < span < math.inf else F.col("t") if span <= 0 else F.lit(0.0)
+        cell = F.concat(F.transform("ls", lambda v: place(v / F.col("n"), size)), F.array(tick))
+        merged = cf_merge(left.withColumn("mc_id", cell), d=d, extra=(F.max("t").alias("t"),))
+        return merged.select(*[f.name for f in LEFT_OVER.fields])
     directions = np.eye(d) if d <= AXES else np.random.default_rng(17).standard_normal((AXES, d))
     centre = F.transform("ls", lambda v: v / F.col("n"))
     along = {f"_p{k}": F.aggregate(F.zip_with(centre, F.array(*[F.lit(float(v)) for v in line]), lambda a, b: a * b), F.lit(0.0),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidepool.operators.blocks import nearest_index, nearest_other
-from tidepool.operators.settle import Slots, condense, spread
+from tidepool.operators.settle import Slots, condense, radius_scale, spread
 from tidepool.plans.clustream import CluStreamParams
 from tidepool.session import ship_package
 
@@ -107,4 +107,4 @@ def merge_models(models: DataFrame, q: int, *, factor: float = 2.0) -> DataFrame
     from tidepool.operators.settle import shrink
 
     rows = models.filter("n > 0").select("n", "ls", "ss", "lst", "sst", (F.col("lst") / F.col("n")).alias("t"))
-    return shrink(condense(rows), q, factor=factor)
+    return shrink(condense(rows, width=radius_scale(rows, factor)), q, factor=factor)
