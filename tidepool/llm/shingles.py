@@ -1,12 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash banding with exact verification.
 
 Words are what stands between ASCII white space in the lower-case text; shingles are runs of ``words`` of them (a shorter text is one
 shingle).  Two texts are linked if the Jaccard similarity of their shingle sets is at least ``threshold``.
 
 1. One narrow pass gives every text a key of its words and, for each tree, a path of ``deepest`` MinHash values.
    Equal keys are copies; only one of each goes on.
-2. A tree is a prefix trie of those paths.  Matching starts with whole paths and shortens the prefix, level by level, until
-   texts exactly at the threshold share a node in some tree with probability ``recall`` (``matched_depth``).  The texts below
+2. Of each path a prefix is matched whose length follows from the parameters alone, the longest with which texts exactly at the
+   threshold share a node in some tree with probability ``recall`` (``matched_depth``): banding of fixed depth.  The texts below
    one node are tied to the smallest of them: as many ties as texts, however many meet there.
 3. Ties are settled to candidate groups.  Every link lies within one.
 4. Within a group all similarities are exact.  Shingles that most of the group share are turned round (missing instead of
