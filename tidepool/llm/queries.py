@@ -139,7 +139,55 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), tokenizer_path(), capacity=1024, end_id=2)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """Whitened components of every usable vector; exact sums and deviations."""
+    from tidepool.llm import whitening
+
+    return whitening.whiten(table(spark, sf, "embeddings"), wanted=32)
+
+
+def op12_infill(spark: SparkSession, sf: str) -> DataFrame:
+    """Every whole text cut in three and put in another order, and back, by digests."""
+    from tidepool.llm import infill
+
+    return infill.digests(table(spark, sf, "documents"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS one, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS two,
+  ('0x' || substr(h, 17, 8))::BIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS h4 FROM d),
+cut AS (SELECT doc_id, t, n, least(one, two) AS a, greatest(one, two) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>')
+  OR contains(t, '<M>') OR h3 >= 90 THEN 'plain' WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+laid AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+  AS output_sha256, sha256(t) AS restored_sha256 FROM laid"""
+
+
+def op13_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of every whole text that stand in an earlier document, 50 at least in a row, taken out."""
+    from tidepool.llm import repeats
+
+    return repeats.remove(table(spark, sf, "documents"), content=False)
+
+
+OP13_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS x FROM documents),
+w AS (SELECT r, doc_id, unnest(range(0, len(x) // 2 - 49)) AS i, unnest(list_transform(range(0, len(x) // 2 - 49), lambda i: substr(x, 2 * i + 1, 100))) AS s FROM d),
+f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+c AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (s) WHERE doc_id > least),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM c),
+spans AS (SELECT r, min(i) AS low, max(i) + 50 AS high FROM g GROUP BY r, k),
+gaps AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS was FROM spans),
+cut AS (SELECT r, count(*) AS n, sum(high - low) AS gone, string_agg(substr(x, 2 * was + 1, 2 * (low - was)), '' ORDER BY low) AS kept, max(high) AS last
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN cut USING (r)"""
+
+
 QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_vectors": op3_vectors, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard,
             "op6_secrets": op6_secrets, "op7_topk": op7_topk, "op8_langid": op8_langid, "op9_urls": op9_urls,
-           "op10_packing": op10_packing}
-SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_topk": OP7_SQL, "op9_urls": OP9_SQL}
+            "op10_packing": op10_packing, "op11_whitening": op11_whitening, "op12_infill": op12_infill, "op13_repeats": op13_repeats}
+SQL: dict[str, str] = {"op3_vectors": OP3_SQL, "op5_jaccard": OP5_SQL, "op7_topk": OP7_SQL, "op9_urls": OP9_SQL,
+                       "op12_infill": OP12_SQL, "op13_repeats": OP13_SQL}
