@@ -18,13 +18,40 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, *, codec: str = "snappy") -> DataFrame:
     """Write to the folder that all executors share and read again: cuts lineage and is computed once."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables of the steps of one operator: each is written by ``keep``, and goes when nothing reads it any more.
+
+    After each step the driver lets go of the shuffles behind what was written, which Spark otherwise does only when the driver's memory fills.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
+        out = keep(df, name, codec=codec)
+        self.paths[name] = out.inputFiles()[:1]
+        self.release()
+        return out
+
+    def release(self) -> None:
+        self.spark.sparkContext._jvm.System.gc()
+
+    def drop(self, *names: str) -> None:
+        """Remove the tables of steps that are done."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            for file in self.paths.pop(name, []):
+                folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
+                folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def fold_of(key: Column | str, parts: int) -> Column:
     """crc32 of the key written as text, modulo ``parts``."""
     return F.crc32(F.col(key).cast("string") if isinstance(key, str) else key.cast("string")) % parts

@@ -174,8 +174,8 @@ def op13_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 OP13_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS x FROM documents),
-part AS (SELECT r, doc_id, 200 * c AS at, substr(x, 400 * c + 1, 498) AS p FROM (SELECT *, unnest(range(0, (len(x) // 2 + 150) // 200)) AS c FROM d)),
-w AS (SELECT r, doc_id, at + i AS i, substr(p, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(p) // 2 - 49)) AS i FROM part)),
+part AS (SELECT r, doc_id, 200 * c AS base, substr(x, 400 * c + 1, 498) AS p FROM (SELECT *, unnest(range(0, (len(x) // 2 + 150) // 200)) AS c FROM d)),
+w AS (SELECT r, doc_id, base + i AS i, substr(p, 2 * i + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(p) // 2 - 49)) AS i FROM part)),
 f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
 c AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM w JOIN f USING (s) WHERE doc_id > least),
 g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM c),

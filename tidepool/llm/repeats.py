@@ -14,9 +14,10 @@ depth of ``length`` bytes, one range of triggers at a time, which puts equal str
 group is known by its smallest id, and what the entry's own document finds there from earlier ones are its partial repeats.  The parse (which
 entry stands where in which document) turns entries back to places.
 
-*Crowds.*  A trigger that more than ``crowd`` documents share, or that a sample shows to be common, is not sorted in one task: its dictionary is
-made by an aggregation over the phrases and its suffixes are grouped as rows, with sums before the shuffle, and results are
-joined back with common keys dealt over several tasks.  Both ways give the same, no group is held in memory, and no pairs are made.
+*Crowds.*  The occurrences of a trigger that more than ``crowd`` documents share, or that a sample shows to be common, do not meet in one task: an
+aggregation makes their dictionary, only its entries are sorted by trigger, and the parse is joined back with common entries dealt over
+several tasks.  Should even the entries of one trigger be more than ``crowd``, their suffixes are grouped as rows instead, summed before the
+shuffle.  All ways give the same, no unbounded group is held in memory, and no pairs are made.
 
 Null text is empty.  A row with a null id keeps all its bytes and is no reason to remove others'.  Rows of one id are judged each by itself:
 none is earlier than another.  Texts of fewer than ``length`` bytes keep all.
@@ -29,10 +30,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import keep, slices
+from tidepool.llm.common import Steps, slices
 from tidepool.session import ship_package
 
 SLICE_BYTES = 1 << 20
@@ -43,9 +45,9 @@ SORTED_AT_ONCE = 16_384  # phrases, more only if one trigger has more
 class Repeats:
     length: int = 50
     gram: int = 24
-    crowd: int = 4096
+    crowd: int = 8192
     sampled: int = 2000  # documents looked at for common triggers
-    common: int = 8      # of them that make a trigger common
+    common: int = 40     # of them that make a trigger common
     seed: int = 13
 
     def __post_init__(self):
@@ -141,7 +143,7 @@ def _triggers(docs: DataFrame, how: Repeats, common: frozenset) -> DataFrame:
     return docs.select("row", "data").mapInArrow(run, "trigger long, row long")
 
 
-PHRASE = "trigger long, crowded boolean, x binary, doc long, row long, places array<long>"
+PHRASE = "trigger long, crowded boolean, digest binary, x binary, doc long, row long, places array<long>"
 
 
 def _shared(docs: DataFrame, how: Repeats, common: frozenset) -> DataFrame:
@@ -159,11 +161,13 @@ def _shared(docs: DataFrame, how: Repeats, common: frozenset) -> DataFrame:
                         found.setdefault((i, raw[a:b], t), []).append(at)
                 if found:
                     where = np.array([i for i, _, _ in found])
+                    crowded = [t not in few[i] for i, _, t in found]
+                    digest = [xxhash.xxh3_128_digest(x) if c else None for (_, x, _), c in zip(found, crowded)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([t for _, _, t in found], pa.int64()), pa.array([t not in few[i] for i, _, t in found]),
+                        [pa.array([t for _, _, t in found], pa.int64()), pa.array(crowded), pa.array(digest, pa.binary()),
                          pa.array([x for _, x, _ in found], pa.binary()), pa.array(ids[where]), pa.array(rows[where]),
                          pa.array(list(found.values()), pa.list_(pa.int64()))],
-                        names=["trigger", "crowded", "x", "doc", "row", "places"])
+                        names=["trigger", "crowded", "digest", "x", "doc", "row", "places"])
 
     return docs.select("row", "doc", "data", "few", "many").mapInArrow(run, PHRASE)
 
@@ -196,29 +200,57 @@ def sorted_suffixes(entries: list[bytes], length: int) -> tuple[np.ndarray, np.n
     return entry[order], offset[order], np.cumsum(new)
 
 
-def repeats_of(xs: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
-    """Occurrences that stand as a whole in an earlier document, and the repeated stretches of the others' entries."""
-    entry_of: dict[bytes, int] = {}
-    which = np.array([entry_of.setdefault(x, len(entry_of)) for x in xs])
-    entries = list(entry_of)
-    first = np.full(len(entries), np.iinfo(np.int64).max)
-    np.minimum.at(first, which, docs)
+def earlier_stretches(entries: list[bytes], first: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:
+    """Stretches of each entry whose strings stand in an entry that an earlier document has."""
     entry, offset, group = sorted_suffixes(entries, length)
     heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     earlier = np.minimum.reduceat(first[entry], heads)[group] < first[entry]
     e, o = entry[earlier], offset[earlier]
     order = np.lexsort((o, e))
     e, o = e[order], o[order]
-    stretches: dict[int, list[tuple[int, int]]] = {}
+    found: dict[int, list[tuple[int, int]]] = {}
     if len(e):
         begin = np.flatnonzero(np.r_[True, (e[1:] != e[:-1]) | (o[1:] != o[:-1] + 1)])
         end = np.r_[begin[1:], len(e)] - 1
         for i, a, b in zip(e[begin].tolist(), o[begin].tolist(), o[end].tolist()):
-            stretches.setdefault(i, []).append((a, b + length))
+            found.setdefault(i, []).append((a, b + length))
+    return found
+
+
+def repeats_of(xs: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]]]:
+    """Occurrences that stand as a whole in an earlier document, and the repeated stretches of the others."""
+    entry_of: dict[bytes, int] = {}
+    which = np.array([entry_of.setdefault(x, len(entry_of)) for x in xs])
+    first = np.full(len(entry_of), np.iinfo(np.int64).max)
+    np.minimum.at(first, which, docs)
+    stretches = earlier_stretches(list(entry_of), first, length)
     whole = docs > first[which]
     return whole, {int(r): stretches[w] for r, w in enumerate(which.tolist()) if not whole[r] and w in stretches}
 
 
+def by_trigger(batches, settle, aside=None):
+    """``settle`` of tables of whole groups of a trigger; the rows come sorted by it.  ``aside`` takes rows out first and settles them by itself."""
+    waiting, rows = [], 0
+    for batch in slices(batches, 4096):
+        if aside is not None:
+            batch, settled = aside(batch)
+            yield from settled
+            if not batch.num_rows:
+                continue
+        waiting.append(batch)
+        rows += batch.num_rows
+        if rows < SORTED_AT_ONCE:
+            continue
+        table = pa.Table.from_batches(waiting)
+        key = table["trigger"].to_numpy()
+        if key[0] != key[-1]:
+            cut = int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1
+            yield settle(table.slice(0, cut))
+            waiting, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        yield settle(pa.Table.from_batches(waiting))
+
+
 SPAN = "doc long, row long, low long, high long"
 
 
@@ -241,30 +273,14 @@ def _sorted(phrases: DataFrame, how: Repeats) -> DataFrame:
             out += [(int(docs[r]), rows[r], at + a, at + b) for at in places[r].as_py() for a, b in spans]
         return _spans(out)
 
-    def run(batches):
-        waiting, rows = [], 0
-        for batch in slices(batches, 4096):
-            waiting.append(batch)
-            rows += batch.num_rows
-            if rows < SORTED_AT_ONCE:
-                continue
-            table = pa.Table.from_batches(waiting)
-            key = table["trigger"].to_numpy()
-            if key[0] != key[-1]:
-                cut = int(np.flatnonzero(key[1:] != key[:-1])[-1]) + 1
-                yield settle(table.slice(0, cut))
-                waiting, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        if rows:
-            yield settle(pa.Table.from_batches(waiting))
-
     return (phrases.select("trigger", "x", "doc", "row", "places").repartition("trigger").sortWithinPartitions("trigger", "doc")
-            .mapInArrow(run, SPAN))
+            .mapInArrow(lambda batches: by_trigger(batches, settle), SPAN))
 
 
 # ---- triggers of a crowd ------------------------------------------------------------------------------
 
 
-def joined_back(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+def joined_back(rows: DataFrame, firsts: DataFrame, key: str, dealt_by: Column) -> DataFrame:
     """Inner join of ``rows`` with ``firsts`` (one row a key, with its number of rows as ``rows``), common keys dealt over several tasks.
 
     At most 20,000 keys count as common, so that their list can be broadcast.
@@ -272,36 +288,61 @@ def joined_back(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
     total = firsts.agg(F.sum("rows")).first()[0] or 0
     most = max(1000, total // 20_000)
     common = F.broadcast(firsts.filter(F.col("rows") > most).select(key, F.ceil(F.col("rows") / most).cast("int").alias("parts")))
-    dealt = rows.join(common, key, "left").withColumn("part", F.pmod(F.xxhash64("doc", "row"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    dealt = rows.join(common, key, "left").withColumn("part", F.pmod(F.xxhash64(dealt_by), F.coalesce("parts", F.lit(1)))).drop("parts")
     last = F.when(F.col("rows") > most, F.ceil(F.col("rows") / most).cast("long") - 1).otherwise(0).cast("long")
     copied = firsts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("rows")
     return dealt.join(copied, [key, "part"]).drop("part")
 
 
-def _crowd(phrases: DataFrame, how: Repeats) -> DataFrame:
-    """Repeated spans of phrases with common triggers, by aggregation."""
+STRETCH = "digest binary, low long, high long, suffix binary, first long"
+
+
+def _stretches(entries: DataFrame, how: Repeats) -> DataFrame:
+    """(digest, low, high) of repeated stretches of entries; of a trigger with too many entries one row a suffix, to be grouped."""
     length = how.length
-    entries = keep(phrases.groupBy("x").agg(F.min("doc").alias("first"), F.count("*").alias("rows")), "entries")
-
-    def suffixes(batches):
-        for batch in slices(batches, 1024):
-            out = []
-            for x, doc, row, places, first in zip(*(batch.column(c).to_pylist() for c in ("x", "doc", "row", "places", "first"))):
-                if doc > first:
-                    out += [(None, doc, row, at, at + len(x)) for at in places]
-                else:
-                    out += [(x[k:k + length], doc, row, at + k, at + k + length) for at in places for k in range(len(x) - length + 1)]
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                                             names=["suffix", "doc", "row", "low", "high"])
-
-    found = keep(joined_back(phrases.select("x", "doc", "row", "places"), entries, "x").select("x", "doc", "row", "places", "first")
-                 .mapInArrow(suffixes, "suffix binary, " + SPAN), "suffixes")
-    single = found.filter("suffix is not null")
-    firsts = keep(single.groupBy("suffix").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("rows"))
-                  .filter("first < last").drop("last"), "firsts")
-    later = joined_back(single, firsts, "suffix").filter("doc > first")
-    return found.filter("suffix is null").select("doc", "row", "low", "high").unionByName(later.select("doc", "row", "low", "high"))
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+
+    def packed(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 5, kinds)],
+                                          names=["digest", "low", "high", "suffix", "first"])
+
+    def settle(table: pa.Table):
+        digests, first = table["digest"].to_pylist(), table["first"].to_numpy()
+        return packed([(digests[i], a, b, None, None)
+                       for i, spans in earlier_stretches(table["x"].to_pylist(), first, length).items() for a, b in spans])
+
+    def aside(batch):
+        many = batch.column("entries").to_numpy() > how.crowd
+        if not many.any():
+            return batch, []
+        dense = batch.filter(pa.array(many))
+        parts = (dense.slice(k, 256) for k in range(0, dense.num_rows, 256))
+        return batch.filter(pa.array(~many)), (
+            packed([(d, k, k + length, x[k:k + length], f) for d, x, f in zip(*(p.column(c).to_pylist() for c in ("digest", "x", "first")))
+                    for k in range(len(x) - length + 1)]) for p in parts)
+
+    sized = entries.withColumn("entries", F.count("*").over(Window.partitionBy("trigger")))
+    return sized.select("trigger", "digest", "x", "first", "entries").sortWithinPartitions("trigger").mapInArrow(
+        lambda batches: by_trigger(batches, settle, aside), STRETCH)
+
+
+def _crowd(phrases: DataFrame, how: Repeats, steps: Steps) -> DataFrame:
+    """Repeated spans of phrases with common triggers."""
+    entries = steps.keep(phrases.groupBy("digest").agg(F.min("doc").alias("first"), F.first("trigger").alias("trigger"), F.first("x").alias("x"),
+                                                       F.count("*").alias("rows")), "entries")
+    found = steps.keep(_stretches(entries.drop("rows"), how), "stretches")
+    dense = found.filter("suffix is not null")
+    shared = steps.keep(dense.groupBy("suffix").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("rows"))
+                        .filter("least < most").drop("most"), "suffixes")
+    late = joined_back(dense, shared, "suffix", F.col("digest")).filter("first > least").select("digest", "low", "high")
+    partly = (found.filter("suffix is null").select("digest", "low", "high").unionByName(late)
+              .groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("stretches")))
+    known = steps.keep(entries.select("digest", "first", "rows").join(partly, "digest", "left"), "known")
+    seen = joined_back(phrases.select("digest", F.length("x").cast("long").alias("size"), "doc", "row", "places"), known, "digest", F.col("row"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
+    parts = seen.withColumn("part", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("stretches"))).filter("part is not null")
+    return parts.select("doc", "row", F.explode("places").alias("at"), "part").select("doc", "row", "at", F.inline("part")).select(
+        "doc", "row", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
 
 
 # ---- the operator ---------------------------------------------------------------------------------------
@@ -326,8 +367,13 @@ def spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
            .withColumn("crowded", F.count("*").over(one) > how.crowd).filter("one <> other"))
     lists = met.groupBy("row").agg(F.collect_list(F.when(~F.col("crowded"), F.col("trigger"))).alias("few"),
                                    F.collect_list(F.when(F.col("crowded"), F.col("trigger"))).alias("many"))
-    phrases = keep(_shared(used.join(lists, "row", "left"), how, common), "phrases")
-    return _sorted(phrases.filter("not crowded"), how).unionByName(_crowd(phrases.filter("crowded"), how))
+    steps = Steps(docs.sparkSession)
+    lists = steps.keep(lists, "lists")
+    phrases = steps.keep(_shared(used.join(lists, "row", "left"), how, common), "phrases")
+    found = _sorted(phrases.filter("not crowded"), how).unionByName(_crowd(phrases.filter("crowded"), how, steps))
+    out = Steps(docs.sparkSession).keep(found, "spans")
+    steps.drop(*list(steps.paths))
+    return out
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -348,8 +394,7 @@ def remove(docs: DataFrame, how: Repeats = Repeats(), *, key: str = "doc_id", te
     """
     ship_package(docs.sparkSession)
     source = _identified(docs, key, text)
-    found = keep(spans(source, how), "spans")
-    lists = found.groupBy("doc", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    lists = spans(source, how).groupBy("doc", "row").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     kind = docs.schema[key].dataType.simpleString()
     ends = pa.struct([("low", pa.int64()), ("high", pa.int64())])
     arrow = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
