@@ -7,7 +7,7 @@ of equals), so equal strings have equal triggers at equal places, whatever surro
 are one *phrase*: from the first one's start to the last one's end.  A document is its sequence of phrases, and every string of ``length`` bytes lies
 in just one of them; the overlap of neighbours is what keeps phrases apart from one another's prefixes.
 
-*Dictionary and order.*  A phrase can only share a string with phrases of its trigger.  Phrases whose trigger no other document has are dropped
+*Dictionary and order.*  Whole texts come first: a document whose text an earlier one has is a repeat from end to end and goes no further.  A phrase can only share a string with phrases of its trigger.  Phrases whose trigger no other document has are dropped
 before their bytes are shipped: a corpus mostly made of copies leaves few distinct ones.  Equal phrases are one entry of the dictionary, which
 keeps the smallest id it occurs in; an occurrence in a later document is a repeat as a whole.  The suffixes of the entries are sorted to a
 depth of ``length`` bytes, one range of triggers at a time, which puts equal strings next to each other in corpus order; each such
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import Steps, slices
+from tidepool.llm.common import Steps, keep, slices
 from tidepool.session import ship_package
 
 SLICE_BYTES = 1 << 20
@@ -45,7 +45,7 @@ SORTED_AT_ONCE = 16_384  # phrases, more only if one trigger has more
 class Repeats:
     length: int = 50
     gram: int = 24
-    crowd: int = 8192
+    crowd: int = 2048
     sampled: int = 2000  # documents looked at for common triggers
     common: int = 40     # of them that make a trigger common
     seed: int = 13
@@ -335,12 +335,13 @@ def _crowd(phrases: DataFrame, how: Repeats, steps: Steps) -> DataFrame:
     shared = steps.keep(dense.groupBy("suffix").agg(F.min("first").alias("least"), F.max("first").alias("most"), F.count("*").alias("rows"))
                         .filter("least < most").drop("most"), "suffixes")
     late = joined_back(dense, shared, "suffix", F.col("digest")).filter("first > least").select("digest", "low", "high")
-    partly = (found.filter("suffix is null").select("digest", "low", "high").unionByName(late)
-              .groupBy("digest").agg(F.collect_list(F.struct("low", "high")).alias("stretches")))
-    known = steps.keep(entries.select("digest", "first", "rows").join(partly, "digest", "left"), "known")
+    partly = found.filter("suffix is null").select("digest", "low", "high").unionByName(late)
+    known = steps.keep(entries.select("digest", "first", "rows").unionByName(partly, allowMissingColumns=True).groupBy("digest").agg(
+        F.max("first").alias("first"), F.max("rows").alias("rows"),
+        F.collect_list(F.when(F.col("low").isNotNull(), F.struct("low", "high"))).alias("stretches")), "known")
     seen = joined_back(phrases.select("digest", F.length("x").cast("long").alias("size"), "doc", "row", "places"), known, "digest", F.col("row"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("size").alias("high")))
-    parts = seen.withColumn("part", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("stretches"))).filter("part is not null")
+    parts = seen.withColumn("part", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("stretches"))).filter("size(part) > 0")
     return parts.select("doc", "row", F.explode("places").alias("at"), "part").select("doc", "row", "at", F.inline("part")).select(
         "doc", "row", (F.col("at") + F.col("low")).alias("low"), (F.col("at") + F.col("high")).alias("high"))
 
@@ -355,6 +356,14 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
     return source.withColumn("row", F.col("doc") if unique else F.when(F.col("doc").isNotNull(), F.xxhash64("doc", "data")))
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """(doc, row, size) of documents whose whole text is an earlier one's: the dictionary and parse of whole texts."""
+    told = docs.select(F.unhex(F.md5("data")).alias("digest"), "doc", "row", F.length("data").cast("long").alias("size"))
+    firsts = keep(told.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("rows"))
+                  .filter("first < last").drop("last"), "texts")
+    return joined_back(told, firsts, "digest", F.col("row")).filter("doc > first").select("doc", "row", "size")
+
+
 def spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     """(doc, row, low, high) of repeated stretches, which may overlap; ``docs`` is (doc, row, data)."""
     used = docs.filter(F.col("doc").isNotNull() & (F.length("data") >= how.length))
@@ -365,12 +374,16 @@ def spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     one = Window.partitionBy("trigger")
     met = (_triggers(used, how, common).withColumn("one", F.min("row").over(one)).withColumn("other", F.max("row").over(one))
            .withColumn("crowded", F.count("*").over(one) > how.crowd).filter("one <> other"))
-    lists = met.groupBy("row").agg(F.collect_list(F.when(~F.col("crowded"), F.col("trigger"))).alias("few"),
-                                   F.collect_list(F.when(F.col("crowded"), F.col("trigger"))).alias("many"))
     steps = Steps(docs.sparkSession)
-    lists = steps.keep(lists, "lists")
-    phrases = steps.keep(_shared(used.join(lists, "row", "left"), how, common), "phrases")
-    found = _sorted(phrases.filter("not crowded"), how).unionByName(_crowd(phrases.filter("crowded"), how, steps))
+    copies = steps.keep(_copies(used), "copies")
+    lists = steps.keep(
+        met.select("row", "trigger", "crowded").unionByName(copies.select("row", F.lit(True).alias("copy")), allowMissingColumns=True)
+        .groupBy("row").agg(F.collect_list(F.when(~F.col("crowded"), F.col("trigger"))).alias("few"),
+                            F.collect_list(F.when(F.col("crowded"), F.col("trigger"))).alias("many"), F.max("copy").alias("copy")), "lists")
+    others = used.join(lists, "row", "left").filter("copy is null")
+    phrases = steps.keep(_shared(others, how, common), "phrases")
+    found = (_sorted(phrases.filter("not crowded"), how).unionByName(_crowd(phrases.filter("crowded"), how, steps))
+             .unionByName(copies.select("doc", "row", F.lit(0).cast("long").alias("low"), F.col("size").alias("high"))))
     out = Steps(docs.sparkSession).keep(found, "spans")
     steps.drop(*list(steps.paths))
     return out
