@@ -4,16 +4,18 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidepool.operators import coreset as cs
-from tidepool.operators import kmeans, settle, snapshots
+from tidepool.operators import feature_tree, kmeans, settle, snapshots
 from tidepool.plans import clustream as cl
 from tidepool.plans import clustree, streamkm
 from tidepool.plans import denstream as de
 from tidepool.plans import streaming_kmeans as sk
 from tidepool.session import Limits
+from tidepool.streaming import keyed
 
 
 def timed(spark, x, t):
@@ -422,3 +424,78 @@ def test_snapshots_on_disk_and_horizon(spark, tmp_path):
     assert got == want
     recent = snapshots.horizon_query(spark, folder, 16, 8).collect()
     assert [r["n"] for r in recent] == [32.0 - 16.0]
+
+
+# ---- bounded left-over sums --------------------------------------------------------------------
+
+
+def _left(spark, x, t):
+    """Single rows as left-over features."""
+    rows = [(1.0, v.tolist(), (v * v).tolist(), float(s), float(s) ** 2, float(s)) for v, s in zip(x, t)]
+    return spark.createDataFrame(rows, settle.LEFT_OVER)
+
+
+@pytest.mark.parametrize("d", [3, 64])
+def test_left_over_sums_are_bounded_in_every_dimension(spark, d):
+    draw = np.random.default_rng(d)
+    for x in (draw.integers(-64, 64, (6000, d)) / 64, draw.integers(0, 4, (12, d))[draw.integers(0, 12, 6000)] + draw.integers(-8, 8, (6000, d)) / 64):
+        left = _left(spark, x, draw.integers(0, 40, 6000))
+        out = feature_tree.bounded(left, 100, rows=6000, width=0.25, pace=0.01).collect()
+        assert 1 < len(out) <= 100
+        assert sum(r.n for r in out) == 6000 and max(r.t for r in out) == 39
+        assert np.allclose(sum(np.array(r.ls) for r in out), x.sum(axis=0)) and np.allclose(sum(np.array(r.ss) for r in out), (x * x).sum(axis=0))
+        again = feature_tree.bounded(left.repartition(7), 100, rows=6000, width=0.25, pace=0.01).collect()
+        assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_few_left_over_sums_stay_as_they_are(spark):
+    left = _left(spark, np.eye(3), [1, 2, 3])
+    assert sorted(map(str, feature_tree.bounded(left, 3).collect())) == sorted(map(str, left.collect()))
+    assert feature_tree.bounded(left.limit(0), 3).count() == 0
+
+
+def test_tree_keeps_separate_places_and_times_apart():
+    draw = np.random.default_rng(4)
+    place, tick = draw.integers(0, 10, 5000), draw.integers(0, 2, 5000) * 1000.0
+    x = place[:, None] * 50.0 + draw.normal(size=(5000, 2))
+    f = np.column_stack([np.ones(5000), tick, tick ** 2, tick, x, x * x])
+    tree = feature_tree.FeatureTree(20, 2, pace=1.0)
+    tree.feed(f)
+    out = tree.finish()
+    assert len(out) == 20 and sorted(out[:, 0]) == sorted(np.bincount(place * 2 + (tick > 0).astype(int)))
+    same = feature_tree.FeatureTree(5, 2)
+    same.feed(np.tile([1.0, 0, 0, 0, 2.0, 3.0, 4.0, 9.0], (3000, 1)))
+    assert len(same.finish()) == 1
+    odd = feature_tree._grow(5, 0.0)([pa.RecordBatch.from_pylist([{"n": 1.0, "ls": [v, 1.0], "ss": [1.0, 1.0], "lst": 0.0, "sst": 0.0, "t": 0.0}
+                                                                  for v in [float("nan"), float("inf")] + [float(k) for k in range(30)]])])
+    got = pa.Table.from_batches(odd)
+    assert got.num_rows <= 6 and sum(got["n"].to_pylist()) == 32
+
+
+@pytest.mark.parametrize("d", [3, 64])
+def test_bounded_settling_is_close_to_row_by_row(spark, d):
+    """Fresh seeds have no radius; the rows stand around few places: both ways find the same clusters there."""
+    draw = np.random.default_rng(d)
+    seeds = spark.createDataFrame([(i, (np.full(d, 100.0 + 5 * i)).tolist()) for i in range(12)], "mc_id long, centre array<double>")
+    model = cl._model(seeds)
+    place = draw.integers(0, 6, 1500)
+    x = place[:, None] * -40.0 + draw.integers(-32, 32, (1500, d)) / 256
+    left = _left(spark, x, draw.integers(10_000, 10_010, 1500))
+    how = dict(now=10_010.0, m=50, horizon=80.0, factor=2.0)
+    found = {}
+    for name, out in (("exact", settle.settle_in_slots(model, left, exact=True, **how)),
+                      ("bounded", settle.settle_in_slots(model, left, most=40, **how))):
+        rows = [r for r in out.collect() if r.ls[0] / r.n < 50]
+        found[name] = {p: (sum(r.n for r in rows if round(r.ls[0] / r.n / -40) == p),
+                           sum(np.array(r.ls) for r in rows if round(r.ls[0] / r.n / -40) == p).tolist()) for p in range(6)}
+    assert found["bounded"] == found["exact"] and sum(n for n, _ in found["exact"].values()) == 1500
+
+
+def test_merging_models_of_many_keys_is_bounded(spark):
+    draw = np.random.default_rng(9)
+    x = draw.integers(-500, 500, (3000, 5)) / 4
+    models = spark.createDataFrame([(i, 2.0, (2 * v).tolist(), (2 * v * v).tolist(), 4.0, 8.0) for i, v in enumerate(x)],
+                                   "mc_id long, n double, ls array<double>, ss array<double>, lst double, sst double")
+    out = keyed.merge_models(models, 20, most=100).collect()
+    assert len(out) == 20 and sum(r.n for r in out) == 6000 and sum(r.lst for r in out) == 12_000
+    assert np.allclose(sum(np.array(r.ls) for r in out), 2 * x.sum(axis=0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.catalog.data import ITEMS, Registry, r6, sql_r6, tiles
+from tidepool.catalog.data import ITEMS, Registry, items, r6, sql_r6, tiles
 from tidepool.catalog.decaying import _years
 from tidepool.operators import assign
 from tidepool.plans import clustream, clustree, denstream, streamkm
@@ -49,6 +49,33 @@ def clustream_totals_batch_time(spark, sf):
     return _totals(spark, sf, order="batch_time").drop("lst", "clusters")
 
 
+def _sites(spark, sf, **params):
+    """Rows far from every cluster, standing at one place a line number: each place must become one cluster, in the stalest slots."""
+    far = F.array(*[(F.col("l_linenumber") * v).cast("double") for v in (1000, -500, 250)])
+    batch = items(spark, sf).select(far.alias("x"), (F.col("t") + 10_000).alias("t"))
+    state = clustream.Clustering(clustream._model(assign.centres_of(tiles(spark, sf))))
+    model = clustream.step(state, batch, clustream.CluStreamParams(q=45, m=10 ** 9, horizon=5000.0, **params)).model
+    return model.select(r6("n", "n"), *[r6(F.col("ls")[j], f"ls{j}") for j in range(3)], r6(F.col("ss")[0], "ss0"), r6("lst", "lst"),
+                        r6("sst", "sst")).filter("n > 1")
+
+
+SITES = f"""
+WITH {ITEMS} SELECT {sql_r6('count(*)', 'n')}, {sql_r6('sum(l_linenumber * 1000)', 'ls0')}, {sql_r6('sum(l_linenumber * -500)', 'ls1')},
+  {sql_r6('sum(l_linenumber * 250)', 'ls2')}, {sql_r6('sum(l_linenumber * l_linenumber * 1000000)', 'ss0')}, {sql_r6('sum(t + 10000)', 'lst')},
+  {sql_r6('sum((t + 10000) * (t + 10000))', 'sst')} FROM items GROUP BY l_linenumber HAVING count(*) > 1"""
+
+
+@add("clustream_sites", SITES)
+def clustream_sites(spark, sf):
+    return _sites(spark, sf)
+
+
+@add("clustream_sites_bounded", SITES)
+def clustream_sites_bounded(spark, sf):
+    """The same with at most 64 sums of left-over rows in the last task: trees of features merge them before, level by level."""
+    return _sites(spark, sf, left_most=64)
+
+
 RUN_LAM = 0.001
 
 

@@ -1,10 +1,10 @@
 """The order-dependent part of the online step: where the rows go that no cluster took.
 
 Rows arrive as cluster features (a single point has count 1).  One rule holds for every size: rows
-that lie close in space and time, by the scale of the model's radii, are added up first, by cells that do not depend on the layout,
-and the sums are settled in time order.  Counts and sums are conserved.  ``exact=True`` leaves
-the first step out: every row is settled by itself, in one task, which is the caller's choice and
-only meant for bounded input.
+that lie close in space and time, by the scale of the model, are added up first, by cells that do not depend on the layout; if more
+than a stated number of sums is left, trees of features merge the closest of them, level by level; and the sums are settled in time order.
+Counts and sums are conserved.  ``exact=True`` leaves the first steps out: every row is settled by itself, in one task, which is the
+caller's choice and only meant for bounded input.
 """
 
 from __future__ import annotations
@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidepool.operators.assign import absorb_radii
 from tidepool.operators.blocks import list_column, nearest_index, squared_distances, vector_matrix
 from tidepool.operators.cf import cf_merge, vector_sum
+from tidepool.operators.feature_tree import bounded
 from tidepool.schema import DECAYING_CLUSTER, MICRO_CLUSTER, VECTOR
-from tidepool.session import ship_package, width_of
+from tidepool.session import MAX_FLOAT, ship_package, width_of
 
 LEFT_OVER = T.StructType([T.StructField("n", T.DoubleType()), T.StructField("ls", VECTOR), T.StructField("ss", VECTOR),
                           T.StructField("lst", T.DoubleType()), T.StructField("sst", T.DoubleType()),
@@ -151,15 +153,19 @@ class Slots:
 
 def settle_in_slots(model: DataFrame, left: DataFrame, *, now: float, m: float, horizon: float, factor: float,
                     recheck: bool = True, keep_merged_open: bool = True, newest_first: bool = False,
-                    exact: bool = False) -> DataFrame:
+                    exact: bool = False, most: int = 4096, rows: int | None = None) -> DataFrame:
     """New model of the same size after settling left-over rows in time order.
 
     Each row is absorbed by a cluster this pass has touched, or overwrites the stalest
-    deletable cluster, or takes the slot freed by merging the closest pair.
+    deletable cluster, or takes the slot freed by merging the closest pair.  At most ``most`` sums (and one without a place) reach
+    the task that settles them; ``rows`` is the number of left-over rows, counted if not given.
     """
     ship_package(model.sparkSession)
-    width = None if exact else radius_scale(model, factor)
-    left = left if width is None else condense(left, width=width, span=horizon / SPANS)
+    if not exact:
+        width, span = model_scale(model, factor), horizon / SPANS
+        left = condense(left, width=width, span=span) if width else left
+        pace = width / span if 0 < span < math.inf and width else 0.0
+        left = bounded(left, most, rows=rows, width=width or 0.0, pace=pace)
     rows = left.select(F.lit(1).alias("_k"), "n", "ls", "ss", "lst", "sst", "t")
     base = model.select(F.lit(1).alias("_k"), "mc_id", "n", "ls", "ss", "lst", "sst", "ids")
 
@@ -260,6 +266,16 @@ def radius_scale(features: DataFrame, factor: float) -> float | None:
     return None if found is None else 2.0 ** math.floor(math.log2(found))
 
 
+def model_scale(model: DataFrame, factor: float) -> float | None:
+    """Median radius of the model; without any radius, half the median gap between its centres; None if no two of them differ."""
+    found = radius_scale(model, factor)
+    if found is None:
+        lone = absorb_radii(model.filter("n > 0"), factor=factor).filter(f"radius > 1e-20 and radius < {MAX_FLOAT}")
+        gap = lone.agg(F.median("radius")).first()[0]
+        found = None if gap is None else 2.0 ** math.floor(math.log2(gap / 2))
+    return found
+
+
 def condense(left: DataFrame, *, d: int | None = None, width: float | None = None, span: float = math.inf) -> DataFrame:
     """Left-over features added up by cell.
 
@@ -414,5 +430,5 @@ def shrink(features: DataFrame, q: int, *, factor: float) -> DataFrame:
                  pa.array(pool.lst[:k]), pa.array(pool.sst[:k])], names=[f.name for f in schema.fields])
 
     ship_package(features.sparkSession)
-    ordered = features.select(*[f.name for f in LEFT_OVER.fields]).coalesce(1).sortWithinPartitions("t", "ls")
+    ordered = features.select(*[f.name for f in LEFT_OVER.fields]).repartition(1).sortWithinPartitions("t", "ls")
     return ordered.mapInArrow(run, schema)

@@ -37,6 +37,7 @@ class CluStreamParams:
     order: str = "merge"
     tick_step: int = 10_000
     exact: bool = False  # settle left-over rows one by one, in one task
+    left_most: int = 4096  # sums of left-over rows that one task settles
 
     def __post_init__(self):
         if self.order not in ORDERS:
@@ -124,7 +125,8 @@ def step(state: Clustering, batch: DataFrame, params: CluStreamParams, *, x: str
         left = parts.filter(missed).select("n", "ls", "ss", "lst", "sst", F.col("t_max").alias("t"))
         model = settle_in_slots(
             model, left, now=now, m=params.m, horizon=params.horizon, factor=params.t_factor, recheck=params.recheck,
-            keep_merged_open=not batch_time, newest_first=batch_time, exact=params.exact)
+            keep_merged_open=not batch_time, newest_first=batch_time, exact=params.exact,
+            most=params.left_most, rows=seen["left"])
     model = keep(model.select(*[f.name for f in MICRO_CLUSTER.fields]))
     parts.unpersist()
     return Clustering(model, now, state.batches + 1, state.rows + int(seen["n"]), state.left_over + seen["left"])

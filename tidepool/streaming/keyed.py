@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidepool.operators.blocks import nearest_index, nearest_other
-from tidepool.operators.settle import Slots, condense, radius_scale, spread
+from tidepool.operators.feature_tree import bounded
+from tidepool.operators.settle import Slots, condense, radius_scale, shrink, spread
 from tidepool.plans.clustream import CluStreamParams
 from tidepool.session import ship_package
 
@@ -102,9 +103,13 @@ def random_key(points: DataFrame, width: int, seed: int = 0) -> DataFrame:
     return points.withColumn("key", F.floor(F.rand(seed) * width).cast("long"))
 
 
-def merge_models(models: DataFrame, q: int, *, factor: float = 2.0) -> DataFrame:
-    """One model of at most q clusters from many: nearest clusters are merged, counts conserved."""
-    from tidepool.operators.settle import shrink
+def merge_models(models: DataFrame, q: int, *, factor: float = 2.0, most: int = 4096) -> DataFrame:
+    """One model of at most q clusters from many: nearest clusters are merged, counts conserved.
 
+    Close clusters are added up by cells, then trees of features merge level by level until ``most`` are left; only these
+    meet in the task that brings them to q.
+    """
     rows = models.filter("n > 0").select("n", "ls", "ss", "lst", "sst", (F.col("lst") / F.col("n")).alias("t"))
-    return shrink(condense(rows, width=radius_scale(rows, factor)), q, factor=factor)
+    width = radius_scale(rows, factor)
+    close = condense(rows, width=width) if width else rows
+    return shrink(bounded(close, max(most, q), width=width or 0.0), q, factor=factor)
