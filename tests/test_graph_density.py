@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import grid as g
-from tidepool.operators import dbscan, grid
+from tidepool.operators import dbscan, grid, pivots
 from tidepool.operators.components import connected_components
 from tidepool.plans import dstream
 from tidepool.session import Limits, cut_lineage
@@ -75,8 +75,29 @@ def test_point_clusters_equal_brute_force(spark, d):
     got = dbscan.cluster_points(df, eps, mu, d=d).collect()
     assert {tuple(r["x"]): tuple(r["cluster"]) for r in got} == want
     assert sum(r["w"] for r in got) == sum(k for s, k in zip(spots, w) if tuple(s) in want)
-    blocks = dbscan._cluster_blocks(df.groupBy("x").agg(F.count("*").cast("double").alias("w")), eps, mu, Limits(block_rows=30))
-    assert {tuple(r["x"]): tuple(r["cluster"]) for r in blocks.collect()} == want
+    places = df.groupBy("x").agg(F.count("*").cast("double").alias("w"))
+    wide = dbscan._cluster_pivots(places, eps, mu, Limits())
+    assert {tuple(r["x"]): tuple(r["cluster"]) for r in wide.collect()} == want
+
+
+def test_rows_meet_at_pivots_in_parts(spark):
+    """A crowd in one ring is dealt to parts; far rows, repeated and odd places; counts and labels as by comparing all."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(150, 9)) * 0.1, rng.normal(size=(150, 9)), [[1e6] * 9, [0.0] * 9]])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist(), float(i)) for i, v in zip(ids, x)], "id long, x array<double>, value double")
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) < 0.6
+    where = pivots.choose(df, 0.6)
+    for block in (7, 2048):
+        mass = dict(pivots.meet(df, df, 0.6, where, "id long, mass double", pivots.mass_kernel, block=block).collect())
+        assert mass == pytest.approx({int(i): float(near[i] @ ids) for i in ids})
+        least = dict(pivots.meet(df.filter("id % 2 = 0"), df.filter("id % 3 = 0"), 0.6, where, "id long, least double", pivots.least_kernel,
+                                 block=block).collect())
+        assert least == {int(i): float(min(j for j in ids[near[i]] if j % 3 == 0)) for i in ids if i % 2 == 0 and (near[i] & (ids % 3 == 0)).any()}
+    assert pivots.choose(df.limit(0), 0.6) is None
+    odd = spark.createDataFrame([([float("nan")] * 5, 9.0), ([float("inf")] * 5, 9.0), ([0.0] * 5, 9.0)], "x array<double>, w double")
+    assert [r.w for r in dbscan._cluster_pivots(odd, 1.0, 2, Limits()).collect()] == [9.0]
+    assert dbscan._cluster_pivots(odd.limit(2), 1.0, 2, Limits()).count() == 0
 
 
 def test_box_refinement_is_exact(spark, monkeypatch):

@@ -194,6 +194,29 @@ def dbscan_init(spark, sf):
                       r6(F.col("ls")[1], "ls1"), r6(F.col("ss")[1], "ss1"))
 
 
+WIDE_EPS, WIDE_MU = 1.15, 2
+
+
+@add("dbscan_init_wide", f"""
+WITH RECURSIVE i AS (SELECT vec_id AS id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE) / 64) AS x FROM embeddings WHERE embedding IS NOT NULL),
+near AS (SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON list_sum(list_transform(list_zip(a.x, b.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))
+         < {WIDE_EPS}::DOUBLE * {WIDE_EPS}::DOUBLE),
+core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) - 1 > {WIDE_MU}),
+ce AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+r AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, ce.b FROM r JOIN ce ON r.b = ce.a),
+comp AS (SELECT r.b AS id, min(s.x) AS label FROM r JOIN i s ON s.id = r.a GROUP BY r.b),
+border AS (SELECT n.a AS id, min(c.label) AS label FROM near n JOIN comp c ON n.b = c.id WHERE n.a NOT IN (FROM core) GROUP BY n.a),
+m AS (SELECT * FROM comp UNION ALL SELECT * FROM border)
+SELECT {sql_r6('label[1]', 'seed0')}, {sql_r6('label[2]', 'seed1')}, count(*)::BIGINT AS w, {sql_r6('sum(x[1])', 'ls0')},
+       {sql_r6('sum(x[64])', 'ls63')}, {sql_r6('sum(x[64] * x[64])', 'ss63')} FROM m JOIN i USING (id) GROUP BY label""")
+def dbscan_init_wide(spark, sf):
+    """Density clusters of all embeddings, 64 dimensions: rows meet at pivots."""
+    points = vectors(spark, sf).select(F.transform("x", lambda v: F.floor(64 * v) / 64).alias("x"))
+    out = dbscan.initial_clusters(points, WIDE_EPS, WIDE_MU, d=64)
+    return out.select(r6(F.col("cluster")[0], "seed0"), r6(F.col("cluster")[1], "seed1"), F.col("w").cast("long").alias("w"),
+                      r6(F.col("ls")[0], "ls0"), r6(F.col("ls")[63], "ls63"), r6(F.col("ss")[63], "ss63"))
+
+
 # ---- density grid ----------------------------------------------------------------------------------
 
 GAPS = [0.1, 0.25, 0.25]

@@ -4,7 +4,7 @@ Connectivity never needs the pairs of a neighbourhood.  Summaries are compared w
 blocks inside the tasks, and each task emits only a spanning forest of the links it saw.  Raw
 points of few dimensions are collapsed into cells small enough for their members to be mutual
 neighbours; links between cells are decided by bounding boxes that are refined only while
-undecided.  All results are exact and do not depend on any order of visiting.
+undecided; raw points of many dimensions meet at pivots.  All results are exact and do not depend on any order of visiting.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import summary
-from tidepool.operators.blocks import map_batches, read_blocks, squared_distances, vector_matrix
+from tidepool.operators import pivots
+from tidepool.operators.blocks import read_blocks, squared_distances, vector_matrix
 from tidepool.operators.cf import vector_sum
 from tidepool.operators.components import connected_components, forest
 from tidepool.operators.rows import number_rows
@@ -68,59 +69,6 @@ def range_forest(centres: DataFrame, reach: float, *, strict: bool = False, key:
     return parts if parts is not None else centres.sparkSession.createDataFrame([], schema)
 
 
-def count_within(points: DataFrame, refs: DataFrame, reach: float, *, strict: bool = True, x: str = "x",
-                 weight: str = "w", out: str = "mass", limits: Limits = LIMITS) -> DataFrame:
-    """Append the weight of the reference rows within reach of each row (itself included, if it is one)."""
-    result, first, limit2 = points, True, reach * reach
-    for block in read_blocks(refs.select(F.col("id"), x, weight), "id", limits):
-        shared = points.sparkSession.sparkContext.broadcast(block)
-
-        def kernel(batch, shared=shared, first=first):
-            b = shared.value
-            rows = vector_matrix(batch.column(x), b[x].shape[1])
-            mass = np.zeros(len(rows))
-            step = max(1, (1 << 20) // max(1, len(b)))
-            for lo in range(0, len(rows), step):
-                d2 = squared_distances(rows[lo:lo + step], b[x])
-                mass[lo:lo + step] = (d2 < limit2 if strict else d2 <= limit2) @ b[weight]
-            if not first:
-                mass += batch.column(out).to_numpy(zero_copy_only=False)
-            return [mass]
-
-        result = map_batches(result, [T.StructField(out, T.DoubleType())], kernel, () if first else (out,))
-        first = False
-    return result.withColumn(out, F.lit(0.0)) if first else result
-
-
-def smallest_label_within(points: DataFrame, refs: DataFrame, reach: float, *, x: str = "x", label: str = "label",
-                          limits: Limits = LIMITS) -> DataFrame:
-    """Append the smallest label of the reference rows strictly within reach (NULL if none)."""
-    none = np.iinfo(np.int64).max
-    result, first, limit2 = points, True, reach * reach
-    for block in read_blocks(refs.select(F.col("id"), x, label), "id", limits):
-        if len(block) == 0:
-            continue
-        shared = points.sparkSession.sparkContext.broadcast(block)
-
-        def kernel(batch, shared=shared, first=first):
-            b = shared.value
-            rows = vector_matrix(batch.column(x), b[x].shape[1])
-            out = np.full(len(rows), none)
-            step = max(1, (1 << 20) // len(b))
-            for lo in range(0, len(rows), step):
-                near = squared_distances(rows[lo:lo + step], b[x]) < limit2
-                out[lo:lo + step] = np.where(near, b[label][None, :], none).min(axis=1)
-            if not first:
-                out = np.minimum(out, batch.column("_low").to_numpy(zero_copy_only=False))
-            return [out]
-
-        result = map_batches(result, [T.StructField("_low", T.LongType())], kernel, () if first else ("_low",))
-        first = False
-    if first:
-        return result.withColumn(label, F.lit(None).cast("long"))
-    return result.withColumn(label, F.when(F.col("_low") != int(none), F.col("_low"))).drop("_low")
-
-
 # ---- offline: summaries -----------------------------------------------------------------------
 
 
@@ -162,21 +110,29 @@ def cluster_points(points: DataFrame, eps: float, mu: float, *, x: str = "x", d:
         F.count("*").cast("double").alias("w")))
     if d <= GRID_DIMS:
         return _cluster_cells(spots, eps, mu, d)
-    return _cluster_blocks(spots, eps, mu, limits)
-
-
-def _cluster_blocks(spots, eps, mu, limits):
-    ids = cut_lineage(number_rows(spots, ["x"], "id"))
-    counted = cut_lineage(count_within(ids, ids, eps, limits=limits))
+    return _cluster_pivots(spots, eps, mu, limits)
+
+
+def _cluster_pivots(spots, eps, mu, limits):
+    """Any dimension: rows meet at pivots, see ``operators.pivots``.  Places that are not finite touch nothing."""
+    whole = F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    ids = cut_lineage(number_rows(spots.filter(whole), ["x"], "id"))
+    where = pivots.choose(ids, eps, limits=limits)
+    if where is None:
+        return spots.limit(0).select("x", "w", F.col("x").alias("cluster"))
+    rows = ids.select("id", "x", F.col("w").alias("value"))
+    mass = pivots.meet(rows, rows, eps, where, "id long, mass double", pivots.mass_kernel)
+    counted = cut_lineage(ids.join(mass, "id"))
     core = counted.filter(F.col("mass") - 1 > mu)
-    links = range_forest(core, eps, strict=True, key="id", centre="x", limits=limits)
-    comp = connected_components(core.select(F.col("id").alias("node")), links)
+    nodes = core.select("id", "x", F.col("w").alias("value"))
+    links = pivots.meet(nodes, nodes, eps, where, "src long, dst long", pivots.link_kernel)
+    comp = connected_components(core.select(F.col("id").alias("node")), links, limits=limits)
     labelled = cut_lineage(core.join(comp.select(F.col("node").alias("id"), F.col("component").alias("label")), "id"))
-    rest = counted.filter(F.col("mass") - 1 <= mu)
-    border = smallest_label_within(rest, labelled, eps, limits=limits).filter("label IS NOT NULL")
+    rest = counted.filter(F.col("mass") - 1 <= mu).select("id", "x", F.col("w").alias("value"))
+    touched = pivots.meet(rest, labelled.select("id", "x", F.col("label").alias("value")), eps, where, "id long, least double", pivots.least_kernel)
+    border = counted.join(touched, "id").select("x", "w", F.col("least").cast("long").alias("label"))
     names = labelled.filter("id = label").select("label", F.col("x").alias("cluster"))
-    every = labelled.select("x", "w", "label").unionByName(border.select("x", "w", "label"))
-    return every.join(names, "label").select("x", "w", "cluster")
+    return labelled.select("x", "w", "label").unionByName(border).join(names, "label").select("x", "w", "cluster")
 
 
 def _offsets(d: int, side: float, eps: float):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidepool.session import LIMITS
+from tidepool.session import LIMITS, cut_lineage
 
 
 def number_rows(df: DataFrame, order: list, out: str = "idx") -> DataFrame:
@@ -17,8 +17,8 @@ def number_rows(df: DataFrame, order: list, out: str = "idx") -> DataFrame:
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [o if isinstance(o, Column) else F.col(o) for o in order]
-    laid = (df.repartitionByRange(parts, *names).sortWithinPartitions(*names)
-            .withColumn("_mid", F.monotonically_increasing_id()).persist())
+    laid = cut_lineage(df.repartitionByRange(parts, *names).sortWithinPartitions(*names)
+                       .withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright("_mid", 33).alias("_part")
     sizes = laid.groupBy(part).agg(F.count("*").alias("_n"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
@@ -107,7 +107,8 @@ def cumulative(df: DataFrame, value: str, key: list[str], out: str) -> DataFrame
     """Running sum of ``value`` in key order, partition by partition."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()).persist()
+    laid = df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id())
+    laid = cut_lineage(laid)
     sums = laid.groupBy("_part").agg(F.sum(value).alias("_s"))
     shift = sums.select("_part", F.coalesce(
         F.sum("_s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_shift"))
