@@ -230,6 +230,10 @@ def test_plans_place_everything():
     for _ in range(200):
         capacity = draw.randrange(1, 40)
         check_plan(collections.Counter(draw.randrange(1, capacity + 1) for _ in range(draw.randrange(0, 60))), capacity)
+    for seed in (1, 3, 5, 8):  # never more sequences than best fit
+        draw = random.Random(seed)
+        some = collections.Counter(draw.randrange(1, 700) for _ in range(300))
+        assert check_plan(some, 1024) <= sum(t for _, t in packing.best_fit(dict(some), 1024))
     big = collections.Counter({n: 10 ** 9 for n in range(1, 65)})
     assert check_plan(big, 64) <= 1.02 * sum(n * c for n, c in big.items()) / 64 + 1
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidepool.llm import bpe, langid, quality, queries, toxicity
+from tidepool.llm import bpe, common, langid, quality, queries, toxicity
 
 ODD = [None, "", " ", "\n\n", "a", "  two  blanks ", "<|endoftext|>x<|endoftext|>", "日本語 text\t\ttabs", "…" * 50, "'ll 'LL don't", "1234567 890",
        "\x00 \x00", "é" * 5000, "word " * 30_000]
@@ -160,3 +160,32 @@ def test_related_languages_are_told_apart_in_their_family(spark):
     assert model.families == ["germanic", "romance"] and len(model.pairs) == 3
     told = langid.predict(docs.filter("doc_id >= 160"), model).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in told]) > 0.95
+
+
+def test_fractions_are_no_letters(spark):
+    assert not any(langid.has_letter(t) for t in ("", "½ ² ①", "12 _ - .", "\U0001f600")) and langid.has_letter("½ é") and langid.has_letter("3 字")
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["the house of the lord"] * 3)] + [(9, "½ ² ①", None)], "doc_id long, text string, lang string")
+    told = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert told == {0: "en", 1: "en", 2: "en", 9: "und"}
+
+
+def test_few_toxic_texts_still_make_a_model(spark):
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(80)]
+    clean = [" ".join(draw.choice(words) for _ in range(60)) for _ in range(120)]
+    vile = [" ".join(draw.choice(["zoxxer", "vurq", *words[:20]]) for _ in range(60)) for _ in range(40)]
+    for toxic_texts in (vile[:1], [t for t in vile if sum(t.encode()) % 2 == 0][:8]):
+        texts = clean + toxic_texts
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i >= len(clean))) for i in range(len(texts))], "doc_id long, toxic int")
+        model = toxicity.fit(docs, labels)
+        assert len(model.weights) and len(np.unique(np.round(model.scores(clean[:20] + vile), 9))) > 5
+
+
+def test_samples_of_a_hot_key_are_bounded(spark):
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, 7, id) as key", "if(id % 9 = 0, 'same', cast(id as string)) as text", "id % 2 as label")
+    got = common.stratified(rows, "label", "key", 50, "x")
+    assert len(got) == 100 and len({(r["key"], r["text"], r["label"]) for r in got}) == 100
+    assert sorted(map(str, got)) == sorted(map(str, common.stratified(rows.repartition(5), "label", "key", 50, "x")))
+    found = common.texts_for([{"key": 7, "label": 1}, {"key": 1, "label": 0}], rows, "key", "text")
+    assert [v for v, _ in found] == [0, 1]

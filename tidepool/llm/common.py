@@ -87,21 +87,22 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> list:
 
 
 def stratified(df: DataFrame, label: str, key: str, per_label: int, seed: str, most_labels: int = 1000) -> list:
-    """At most ``per_label`` rows of each label on the driver, drawn by a hash of ``key``.
+    """At most ``per_label`` different rows of each label on the driver, drawn by a hash of ``key`` and the row.
 
-    The hash bound of a label follows from its count, so that about so many rows, and never a whole label, are gathered.
+    The hash bound of a label follows from its count, so that about so many rows, and never a whole label, are gathered.  A key with many
+    rows is drawn row by row; equal rows are one, and put together before they are shuffled.
     """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().limit(most_labels + 1).collect()}
     if len(counts) > most_labels:
         raise ValueError(f"more than {most_labels} labels in {label}")
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), *[F.col(c) for c in df.columns if c not in (key, label)]), F.lit(1 << 30)) / F.lit(float(1 << 30))
     wanted = per_label + 5 * per_label ** 0.5 + 10
     share = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(min(1.0, wanted / n)))])
-    rows = df.withColumn("_draw", draw).filter(F.col("_draw") < share[F.col(label)]).collect()
+    rows = df.withColumn("_draw", draw).filter(F.col("_draw") < share[F.col(label)]).dropDuplicates().collect()
     taken, out = dict.fromkeys(counts, 0), []
-    for row in sorted(rows, key=lambda r: (r["_draw"], str(r[key]))):
+    for row in sorted(rows, key=lambda r: (r["_draw"], str(r))):
         if taken[row[label]] < per_label:
             taken[row[label]] += 1
             out.append(row)
@@ -111,12 +112,13 @@ def stratified(df: DataFrame, label: str, key: str, per_label: int, seed: str, m
 def texts_for(sample: list, docs: DataFrame, key: str, text: str) -> list[tuple]:
     """(label, text) of the sampled (key, label) rows that have a text, in an order that only depends on the rows.
 
-    The sample is of bounded size, so it goes to the texts, which are not shuffled.
+    The sample is of bounded size, so it goes to the texts.  Of several texts of a key the one with the least hash counts, so that as many texts
+    as keys come back.
     """
     if not sample:
         return []
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(r["key"], r["label"]) for r in sample], "key bigint, label int")
     found = docs.select(docs[key].cast("bigint").alias("key"), docs[text].alias("text")).filter("text is not null").join(
-        F.broadcast(wanted), "key").collect()
+        F.broadcast(wanted), "key").groupBy("key", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
     return [(r["label"], r["text"]) for r in sorted(found, key=lambda r: (r["key"], r["text"]))]

@@ -34,11 +34,16 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 ONE, TWO, THREE = 256, 2048, 6144  # bins of the counts by number of letters
-LETTER = re.compile(r"[^\W\d_]")
+WORDLIKE = re.compile(r"[^\W\d_]")
 KEPT = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 SLOPE = 4.0  # steepness from a margin to a share of certainty
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; the pattern alone takes fractions and powers for one."""
+    return any(m.group().isalpha() for m in WORDLIKE.finditer(text))
+
+
 def features(text: str) -> np.ndarray:
     a = KEPT[np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)]
     a = a[(a != 32) | np.concatenate([[True], a[:-1] != 32])] if len(a) else a  # runs of blanks as one
@@ -81,7 +86,7 @@ class LanguageModel:
     between: np.ndarray | None = None  # features x pairs
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.families or not LETTER.search(text):
+        if text is None or not self.families or not has_letter(text):
             return "und", 0.0
         x = features(text)
         family, sure = self.families[0], 1.0
@@ -116,7 +121,7 @@ def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str =
     family_of = FAMILY_OF if family_of is None else family_of
     known = docs.select(docs[key].alias("key"), docs[text].alias("text"), docs[lang].alias("label")).filter(
         "label is not null and text is not null")
-    rows = [r for r in stratified(known, "label", "key", rows_per_language, "language") if LETTER.search(r["text"])]
+    rows = [r for r in stratified(known, "label", "key", rows_per_language, "language") if has_letter(r["text"])]
     if not rows:
         return LanguageModel()
     x = np.stack([features(r["text"]) for r in rows])

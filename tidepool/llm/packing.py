@@ -146,7 +146,16 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> dict[tuple,
 
 
 def plan(histogram: dict[int, int], capacity: int) -> Plan:
-    """(configuration, number of sequences) that place every piece of the histogram exactly once."""
+    """(configuration, number of sequences) that place every piece of the histogram exactly once.
+
+    The rounded program, or plain best fit of all pieces should that need fewer sequences.
+    """
+    rounded, plain = rounded_plan(histogram, capacity), best_fit({n: c for n, c in histogram.items() if c > 0}, capacity)
+    return plain if sum(t for _, t in plain) < sum(t for _, t in rounded) else rounded
+
+
+def rounded_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Configurations of the linear program in whole numbers, and best fit for what they leave."""
     left = {n: c for n, c in histogram.items() if c > 0}
     out: Plan = []
     for _ in range(ROUNDS):

@@ -152,8 +152,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     halves: dict[tuple[int, int], list[str]] = {(v, h): [] for v in (0, 1) for h in (0, 1)}
     for r in rows:
         halves[r[0], sum(r[1].encode("utf-8", "surrogatepass")) % 2].append(r[1])
-    if not all(halves.values()):
-        return ToxicityModel(share=share)
+    for v in (0, 1):
+        if not (halves[v, 0] and halves[v, 1]):  # all in one half: dealt in turn; a single text serves in both
+            texts = halves[v, 0] + halves[v, 1]
+            if not texts:
+                return ToxicityModel(share=share)
+            turn = {t: i for i, t in enumerate(sorted(set(texts)))}
+            for h in (0, 1):
+                halves[v, h] = [t for t in texts if len(turn) == 1 or turn[t] % 2 == h]
     model = _dictionaries(halves[1, 0] + halves[1, 1], halves[0, 0] + halves[0, 1], share)
     other = [_dictionaries(halves[1, 1 - h], halves[0, 1 - h], share) for h in (0, 1)]
     held = [(profile(other[h].gains(t)), v) for h in (0, 1) for v in (0, 1) for t in halves[v, h]]
