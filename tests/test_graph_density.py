@@ -173,7 +173,7 @@ def cells_of(state):
 
 
 def test_dstream_ticks_decay_remove_and_restore(spark):
-    params = dstream.DStreamParams(gaps=(1.0, 1.0), lam=0.5, cm=3.0, cl=1.5, beta=0.3)
+    params = dstream.DStreamParams(gaps=(1.0, 1.0), lam=0.5, cm=3.0, cl=1.5, beta=9.0)
     pts = lambda *xy: spark.createDataFrame([(list(map(float, p)),) for p in xy], "x array<double>")
     state = dstream.GridState(dstream.empty_grid(spark))
     state = dstream.step(state, pts(*[(0.5, 0.5)] * 8, *[(1.5, 0.5)] * 8, (7.5, 7.5)), params)
@@ -188,6 +188,9 @@ def test_dstream_ticks_decay_remove_and_restore(spark):
     last = cells_of(state)
     gone = last[7, 7]
     assert gone["density"] is None and gone["t_removed"] is not None and gone["cluster_id"] is None
+    assert (state.low, state.high) == ([0, 0], [7, 7])
+    left = [dstream.forget(state.model, tick, params).filter("density IS NULL").count() for tick in (10 * gone["t_removed"] - 1, 10 * gone["t_removed"])]
+    assert left[0] >= 1 and left[1] < left[0]
     state = dstream.step(state, pts((7.5, 7.5), (0.5, 0.5)), params)
     back = cells_of(state)[7, 7]
     assert back["density"] == 1.0 and back["t_removed"] == gone["t_removed"]

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidepool.plans import clustream as cl
 from tidepool.plans import denstream as de
 from tidepool.plans import dstream, streamkm
+from tidepool.session import cut_lineage
 from tidepool.sources import readers
-from tidepool.sources.store import ModelStore, load_model
+from tidepool.sources.store import KeyedTable, ModelStore, load_model
 from tidepool.streaming import jobs, keyed
 from tidepool.streaming.metrics import BatchMeter, PhaseTimer, throughput
 from tidepool.streaming.runner import restore
@@ -161,8 +162,26 @@ def test_metrics_word_count_and_probe(spark, folder):
     words.mkdir()
     (words / "a.txt").write_text("a b a\n")
     (words / "b.txt").write_text("b c\n")
-    jobs.running_word_count(readers.text_stream(spark, str(words)), "wc").awaitTermination()
-    assert {r["word"]: r["n"] for r in spark.table("wc").collect()} == {"a": 2, "b": 2, "c": 1}
+    table = KeyedTable(spark, f"file://{folder}/counts", "word", fold=2)
+
+    def count():
+        jobs.running_word_count(readers.text_stream(spark, str(words)), table, f"file://{folder}/wc").awaitTermination()
+        return {r["word"]: r["n"] for r in table.read().collect()}
+
+    assert count() == {"a": 2, "b": 2, "c": 1}
+    for i, text in enumerate(("c d", "a", "e a", "b")):
+        (words / f"more{i}.txt").write_text(text)
+        count()
+    want = {"a": 4, "b": 3, "c": 2, "d": 1, "e": 1}
+    assert count() == want and len(table._folders("base")) == 1
+    base = table._folders("base")[0]
+    for batch in (0, base):  # a replay of a batch changes nothing
+        table.upsert(spark.createDataFrame([("a", 1)], "word string, n long"), batch)
+    last = max([base, *table._folders("batch")])
+    if last > base:
+        again = spark.read.parquet(f"{folder}/counts/batch={last}").drop("_batch")
+        table.upsert(cut_lineage(again), last)
+    assert {r["word"]: r["n"] for r in table.read().collect()} == want
 
 
 def test_streaming_assignment_of_final_clusters(spark, folder):

@@ -192,3 +192,57 @@ def dstream_run(spark, sf):
         state = dstream.step(state, batch, params)
     return state.model.filter("density IS NOT NULL").select(
         *[F.col("cell")[a].alias(b) for a, b in enumerate("ijk")], r6("density", "density"), "attr")
+
+
+# ---- removal and repair of grid clusters ------------------------------------------------------------------
+
+REPAIR_LAM, REPAIR_BETA = 0.5, 0.3
+#: which rows come at each tick
+REPAIR_TICKS = ("l_linenumber <= 3", "l_linenumber = 4 AND l_quantity < 25", "l_linenumber = 5 AND l_quantity >= 20", "l_linenumber >= 6 AND l_quantity < 40")
+
+
+def _repair_sql() -> str:
+    parts = [f"WITH RECURSIVE {ITEMS}, pc AS (SELECT CAST(trunc(x0 / 0.1) AS INTEGER) AS i, CAST(trunc(x1 / 0.25) AS INTEGER) AS j,"
+             " CAST(trunc(x2 / 0.25) AS INTEGER) AS k, l_linenumber, x0 * 64 AS l_quantity FROM items),"
+             " par AS (SELECT 0.22::DOUBLE * count(*) AS cm, 0.1::DOUBLE * count(*) AS cl FROM items),"
+             " s0 AS (SELECT 0 AS i, 0 AS j, 0 AS k, NULL::DOUBLE AS dens, 0 AS upd, NULL::INTEGER AS rem WHERE false)"]
+    for t, rows in enumerate(REPAIR_TICKS, 1):
+        floor = f"cl * (1.0::DOUBLE - pow(0.5::DOUBLE, {t} - upd + 1)) / (n * 0.5::DOUBLE)"
+        gone = (f"dens IS NOT NULL AND dens * pow(0.5::DOUBLE, {t} - upd) < {floor} AND (coalesce(rem, 0) = 0 OR {t} >= 1.3::DOUBLE * rem)"
+                if t > 1 else "false")
+        parts.append(
+            f"c{t} AS (SELECT i, j, k, count(*)::DOUBLE AS cnt FROM pc WHERE {rows} GROUP BY i, j, k),"
+            f" a{t} AS (SELECT i, j, k, CASE WHEN cnt IS NULL THEN dens ELSE coalesce(dens, 0.0::DOUBLE) * pow(0.5::DOUBLE, {t} - coalesce(upd, {t})) + cnt END AS dens,"
+            f" CASE WHEN cnt IS NULL THEN upd ELSE {t} END AS upd, rem FROM s{t - 1} FULL JOIN c{t} USING (i, j, k)),"
+            f" b{t} AS (SELECT ((max(i)-min(i)+1) * (max(j)-min(j)+1) * (max(k)-min(k)+1))::DOUBLE AS n FROM pc WHERE "
+            + " OR ".join(f"({r})" for r in REPAIR_TICKS[:t]) + "),"
+            f" s{t} AS (SELECT i, j, k, CASE WHEN gone THEN NULL ELSE dens * pow(0.5::DOUBLE, {t} - upd) END AS dens,"
+            f" CASE WHEN gone OR dens IS NULL THEN upd ELSE {t} END AS upd, CASE WHEN gone THEN {t} ELSE rem END AS rem"
+            f" FROM (SELECT *, {gone} AS gone FROM a{t} CROSS JOIN b{t} CROSS JOIN par)"
+            f" WHERE NOT ((gone OR dens IS NULL) AND {t} >= 1.3::DOUBLE * CASE WHEN gone THEN {t} ELSE rem END))")
+    last = len(REPAIR_TICKS)
+    parts.append(
+        f"f AS (SELECT i, j, k, dens, rem, i * 10000 + j * 100 + k AS id, CASE WHEN dens >= cm / (n * 0.5::DOUBLE) THEN 2 WHEN dens <= cl / (n * 0.5::DOUBLE) THEN 0 ELSE 1 END AS attr"
+        f" FROM s{last} CROSS JOIN b{last} CROSS JOIN par WHERE dens IS NOT NULL),"
+        " e AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON abs(a.i - b.i) + abs(a.j - b.j) + abs(a.k - b.k) = 1 WHERE b.attr = 2),"
+        " r AS (SELECT id AS a, id AS b FROM f WHERE attr = 2 UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a WHERE r.a IN (SELECT id FROM f WHERE attr = 2)),"
+        " core AS (SELECT b AS id, min(a) AS c FROM r GROUP BY b), size AS (SELECT c, count(*) AS n FROM core GROUP BY c),"
+        " rim AS (SELECT e.a AS id, arg_min(c, (-n, c)) AS c FROM e JOIN core ON core.id = e.b JOIN size USING (c) JOIN f ON f.id = e.a AND f.attr = 1 GROUP BY e.a),"
+        " m AS (SELECT * FROM core UNION ALL SELECT * FROM rim)")
+    return ", ".join(parts) + f" SELECT i, j, k, {sql_r6('dens', 'density')}, attr, rem AS t_removed, m.c AS cluster_id FROM f LEFT JOIN m USING (id)"
+
+
+@add("dstream_repair", _repair_sql())
+def dstream_repair(spark, sf):
+    """Ticks over different parts of the rows: cells change class, thin ones are removed, some come back; clusters are repaired at each."""
+    rows = items(spark, sf).withColumn("l_quantity", F.col("x")[0] * 64)
+    total = rows.count()
+    params = dstream.DStreamParams(gaps=(0.1, 0.25, 0.25), lam=REPAIR_LAM, cm=0.22 * total, cl=0.1 * total, beta=REPAIR_BETA)
+    state = dstream.GridState(dstream.empty_grid(spark))
+    for part in REPAIR_TICKS:
+        state = dstream.step(state, rows.filter(part), params)
+    cell = F.col("cell")
+    owner = F.col("cluster_id")
+    return state.model.filter("density IS NOT NULL").select(
+        *[cell[a].alias(b) for a, b in enumerate("ijk")], r6("density", "density"), "attr", "t_removed",
+        (owner[0] * 10000 + owner[1] * 100 + owner[2]).cast("int").alias("cluster_id"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import grid as g
@@ -43,9 +44,8 @@ def absorb(state: DataFrame, counts: DataFrame, tick: int, params: DStreamParams
         "t_removed", "attr", F.coalesce("changed", F.lit(False)).alias("changed"), "cluster_id")
 
 
-def remove_sporadic(state: DataFrame, tick: int, params: DStreamParams) -> DataFrame:
+def remove_sporadic(state: DataFrame, tick: int, params: DStreamParams, n_cells: Column) -> DataFrame:
     """Drop thin cells but remember when; removed rows have density NULL and class -1."""
-    n_cells = bounds(state, params.d).select("n_cells").scalar()
     gone = F.col("density").isNotNull() & g.sporadic(
         g.faded("density", F.lit(tick) - F.col("t_update"), params.lam), "t_update", "t_removed", F.lit(tick),
         n_cells, params.lam, params.cl, params.beta)
@@ -55,38 +55,57 @@ def remove_sporadic(state: DataFrame, tick: int, params: DStreamParams) -> DataF
         "density": F.when(F.col("_gone"), F.lit(None)).otherwise(F.col("density"))}).drop("_gone")
 
 
-def recluster(state: DataFrame, tick: int, params: DStreamParams, first: bool) -> DataFrame:
+def recluster(state: DataFrame, tick: int, params: DStreamParams, n_cells: Column, first: bool) -> DataFrame:
     """Decay all cells to the tick, classify them, and build or repair the clusters."""
-    n_cells = bounds(state, params.d).select("n_cells").scalar()
-    now = state.withColumns({
+    live = F.col("density").isNotNull()
+    faded = state.withColumns({
         "density": g.faded("density", F.lit(tick) - F.col("t_update"), params.lam),
-        "t_update": F.when(F.col("density").isNotNull(), F.lit(tick)).otherwise(F.col("t_update")).cast("int")})
-    live = classify(now.filter("density IS NOT NULL"), n_cells, lam=params.lam, cm=params.cm, cl=params.cl)
-    dead = now.filter("density IS NULL").withColumns({
-        "changed": F.col("cluster_id").isNotNull() | (F.coalesce("attr", F.lit(g.UNSET)) != g.UNSET),
-        "attr": F.lit(g.UNSET)})
-    table = cut_lineage(live.unionByName(dead.select(*live.columns)))
+        "t_update": F.when(live, F.lit(tick)).otherwise(F.col("t_update")).cast("int"), "_was": F.col("attr")})
+    table = classify(faded, n_cells, lam=params.lam, cm=params.cm, cl=params.cl)
+    was = F.col("cluster_id").isNotNull() | (F.coalesce("_was", F.lit(g.UNSET)) != g.UNSET)
+    table = cut_lineage(table.withColumns({
+        "changed": F.when(live, F.col("changed")).otherwise(was), "attr": F.when(live, F.col("attr")).otherwise(F.lit(g.UNSET))}).drop("_was"))
     clusters = grid_clusters(table, params.d) if first else repair_clusters(table, params.d)
     return table.drop("cluster_id").join(clusters, "cell", "left").select(*[f.name for f in GRID_CELL.fields])
 
 
+def forget(state: DataFrame, tick: int, params: DStreamParams) -> DataFrame:
+    """Without the removed cells whose removal has no say any more: the next test does not look at it from ``(1 + beta) * t_removed`` on."""
+    return state.filter(F.col("density").isNotNull() | (F.lit(tick) < F.lit(1.0 + params.beta) * F.col("t_removed")))
+
+
 @dataclass
 class GridState:
-    """The table of cells between batches."""
+    """The table of cells between batches, and the box of all cells ever seen."""
 
     model: DataFrame
     tick: int = 0
+    low: list[int] | None = None
+    high: list[int] | None = None
+
+
+def _box(state: GridState, counts: DataFrame, d: int) -> tuple[list[int] | None, list[int] | None]:
+    """The box with the cells of the batch in it; a state without one (a table from elsewhere) is looked through once."""
+    boxes = [bounds(counts, d).first()]
+    boxes.append({"lo": state.low, "hi": state.high} if state.low or not state.tick else bounds(state.model, d).first())
+    lows, highs = ([b[side] for b in boxes if b[side] and b[side][0] is not None] for side in ("lo", "hi"))
+    return ([min(v) for v in zip(*lows)], [max(v) for v in zip(*highs)]) if lows else (None, None)
 
 
 def step(state: GridState, batch: DataFrame, params: DStreamParams, *, x: str = "x", keep=cut_lineage) -> GridState:
     """One tick: count cells, upsert, and every ``time_gap`` ticks prune and recluster."""
-    first, tick = state.model.isEmpty(), state.tick + 1
-    new = cut_lineage(absorb(state.model, cell_counts(batch, list(params.gaps), x=x), tick, params))
-    if first:
-        new = recluster(new, tick, params, True)
-    elif tick % params.time_gap == 0:
-        new = recluster(remove_sporadic(new, tick, params), tick, params, False)
-    return GridState(keep(new), tick)
+    tick = state.tick + 1
+    counts = cut_lineage(cell_counts(batch, list(params.gaps), x=x))
+    low, high = _box(state, counts, params.d)
+    if low is None:
+        return GridState(keep(state.model), tick)
+    first = state.model.isEmpty()
+    new = absorb(state.model, counts, tick, params)
+    if first or tick % params.time_gap == 0:
+        n_cells = F.lit(float(math.prod(h - v + 1 for v, h in zip(low, high))))
+        new = new if first else remove_sporadic(new, tick, params, n_cells)
+        new = forget(recluster(new, tick, params, n_cells, first), tick, params)
+    return GridState(keep(new), tick, low, high)
 
 
 def clusters_of(state: DataFrame) -> DataFrame:

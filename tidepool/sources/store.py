@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class ModelStore:
@@ -78,6 +79,57 @@ class ModelStore:
         return found[-1] if found else None
 
 
+class KeyedTable:
+    """Latest values by key on a shared folder, written batch by batch.
+
+    A batch writes only the rows of the keys it changed, to a folder of its own, so writing it again changes nothing.  A reader takes
+    the row of the last batch of each key.  Every ``fold`` batches the folders are put together in one base; a base counts once it is whole, and
+    what it holds is removed only then.
+    """
+
+    BATCH = "_batch"
+
+    def __init__(self, spark: SparkSession, path: str, key: str, fold: int = 20):
+        self.spark, self.path, self.key, self.fold = spark, path.rstrip("/"), key, fold
+
+    def _folders(self, kind: str) -> list[int]:
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        numbers = sorted(int(n[len(kind) + 1:]) for n in names if n.startswith(kind + "="))
+        done = self.spark._jvm.org.apache.hadoop.fs.Path
+        return [n for n in numbers if fs.exists(done(f"{self.path}/{kind}={n}/_SUCCESS"))]
+
+    def _remove(self, kind: str, number: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}={number}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def upsert(self, rows: DataFrame, batch: int) -> None:
+        """The new rows of the keys that a batch changed, one row a key."""
+        base = max(self._folders("base"), default=-1)
+        if batch <= base:  # a replay of what the base holds
+            return
+        rows.withColumn(self.BATCH, F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        if batch - base >= self.fold:
+            self._latest().write.mode("overwrite").parquet(f"{self.path}/base={batch}")
+            for kind in ("base", "batch"):
+                for old in self._folders(kind):
+                    if old < batch or kind == "batch" and old == batch:
+                        self._remove(kind, old)
+
+    def _latest(self) -> DataFrame:
+        base = self._folders("base")[-1:]
+        later = [b for b in self._folders("batch") if not base or b > base[0]]
+        paths = [f"{self.path}/base={b}" for b in base] + [f"{self.path}/batch={b}" for b in later]
+        rows = self.spark.read.parquet(*paths)
+        rest = [c for c in rows.columns if c not in (self.key, self.BATCH)]
+        last = rows.groupBy(self.key).agg(F.max(F.struct(self.BATCH, *rest)).alias("_last"))
+        return last.select(self.key, F.col(f"_last.{self.BATCH}").alias(self.BATCH), *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+    def read(self) -> DataFrame:
+        return self._latest().drop(self.BATCH)
+
+
 def save_model(model: DataFrame, path: str) -> None:
     """A model on its own, as a starting state for later runs."""
     model.write.mode("overwrite").parquet(path)

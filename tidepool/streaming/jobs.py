@@ -9,7 +9,7 @@ from tidepool.operators import evaluate
 from tidepool.operators.rows import sample_to_fill, tokens
 from tidepool.plans import clustream, clustree, denstream, dstream, streaming_kmeans, streamkm
 from tidepool.schema import DECAYING_CLUSTER
-from tidepool.sources.store import ModelStore, save_model
+from tidepool.sources.store import KeyedTable, ModelStore, save_model
 from tidepool.streaming.runner import run_online
 
 
@@ -79,10 +79,11 @@ def build_denstream_model(points: DataFrame, path: str, *, eps: float | None = N
     save_model(model, path)
 
 
-def running_word_count(lines: DataFrame, name: str = "word_counts"):
-    """Keyed counts over the whole stream, updated per batch into a memory table."""
+def running_word_count(lines: DataFrame, table: KeyedTable, checkpoint: str, *, trigger: dict | None = None):
+    """Keyed counts over the whole stream: each batch writes the new counts of the words it held to a table (``word``, ``n``)."""
     counts = tokens(lines).groupBy("word").agg(F.count("*").alias("n"))
-    return counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    writer = counts.writeStream.outputMode("update").foreachBatch(table.upsert).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def batch_probe(stream: DataFrame, path: str, checkpoint: str):
