@@ -194,8 +194,8 @@ def quoting():
                               (950, passages[0] + "\n" + passages[0]), (951, "a" * 50)]
 
 
-@pytest.mark.parametrize("how", [repeats.Repeats(), repeats.Repeats(common=8), repeats.Repeats(common=10 ** 9, crowd=20),
-                                 repeats.Repeats(common=8, crowd=3), repeats.Repeats(gram=50, common=30), repeats.Repeats(length=20, gram=7)])
+@pytest.mark.parametrize("how", [repeats.Repeats(), repeats.Repeats(crowd=20), repeats.Repeats(common=10 ** 9, crowd=20),
+                                 repeats.Repeats(crowd=3), repeats.Repeats(gram=50, crowd=30), repeats.Repeats(length=20, gram=7)])
 def test_repeats_against_every_string(spark, quoting, how):
     df = spark.createDataFrame(quoting, "doc_id long, text string").repartition(3)
     got = repeats.remove(df, how, content=False).collect()

@@ -14,7 +14,7 @@ depth of ``length`` bytes, one range of triggers at a time, which puts equal str
 group is known by its smallest id, and what the entry's own document finds there from earlier ones are its partial repeats.  The parse (which
 entry stands where in which document) turns entries back to places.
 
-*Crowds.*  The occurrences of a trigger that more than ``crowd`` documents share, or that a sample shows to be common, do not meet in one task: an
+*Crowds.*  The occurrences of a trigger that more than ``crowd`` documents share, by count or by what a sample lets expect, do not meet in one task: an
 aggregation makes their dictionary, only its entries are sorted by trigger, and the parse is joined back with common entries dealt over
 several tasks.  Should even the entries of one trigger be more than ``crowd``, their suffixes are grouped as rows instead, summed before the
 shuffle.  All ways give the same, no unbounded group is held in memory, and no pairs are made.
@@ -45,9 +45,9 @@ SORTED_AT_ONCE = 16_384  # phrases, more only if one trigger has more
 class Repeats:
     length: int = 50
     gram: int = 24
-    crowd: int = 2048
+    crowd: int = 32_768
     sampled: int = 2000  # documents looked at for common triggers
-    common: int = 40     # of them that make a trigger common
+    common: int = 8      # of them that a trigger must be in to be thought to have a crowd
     seed: int = 13
 
     def __post_init__(self):
@@ -370,7 +370,7 @@ def spans(docs: DataFrame, how: Repeats = Repeats()) -> DataFrame:
     every = max(1, used.count() // how.sampled)
     seen = used.filter(F.pmod(F.xxhash64("row", F.lit(how.seed)), F.lit(every)) == 0)
     common = frozenset(r["trigger"] for r in _triggers(seen, how, frozenset()).groupBy("trigger").agg(F.count("*").alias("n"))
-                       .filter(F.col("n") >= how.common).orderBy(F.desc("n"), "trigger").limit(50_000).collect())
+                       .filter(F.col("n") >= max(how.common, -(-how.crowd // every))).orderBy(F.desc("n"), "trigger").limit(50_000).collect())
     one = Window.partitionBy("trigger")
     met = (_triggers(used, how, common).withColumn("one", F.min("row").over(one)).withColumn("other", F.max("row").over(one))
            .withColumn("crowded", F.count("*").over(one) > how.crowd).filter("one <> other"))
