@@ -34,14 +34,14 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 ONE, TWO, THREE = 256, 2048, 6144  # bins of the counts by number of letters
-WORDLIKE = re.compile(r"[^\W\d_]")
+LETTER = re.compile(r"[^\W\d_]")
 KEPT = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 SLOPE = 4.0  # steepness from a margin to a share of certainty
 
 
 def has_letter(text: str) -> bool:
     """Whether any character is a letter; the pattern alone takes fractions and powers for one."""
-    return any(m.group().isalpha() for m in WORDLIKE.finditer(text))
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 def features(text: str) -> np.ndarray:
