@@ -81,7 +81,7 @@ def test_run_and_registration(spark, corpus, stages):
     assert corpus_pipeline.run(spark, corpus).count() == stages[5].count()
     names = set(entry.queries())
     assert {"pipeline"} | set(queries.QUERIES) <= names and set(entry.oracle_sql()) <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_empty_corpus(spark, tmp_path):
