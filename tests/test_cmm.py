@@ -2,8 +2,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepool.operators import cmm
+from tidepool.session import Limits
+from tidepool.streaming import jobs
 
 
 def frame(spark):
@@ -68,3 +71,43 @@ def test_close_classes_merge_below_tau(spark):
     out = cmm.evaluate(df, spheres, d=2, params=cmm.CMMParams(tau=0.5))
     assert out.result.first()["ca_separability"] == pytest.approx(2 / 3)
     assert {r["err"] for r in out.points.filter("class = 0").collect()} == {0.0}
+
+
+def test_merged_lists_equal_lists_of_merged_points(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(rng.normal(size=(60, 3)), rng.integers(-1, 4, 60)))],
+                               "id long, x array<double>, class long")
+    names = spark.createDataFrame([(0, 0), (1, 0), (2, 2), (3, 2)], "class long, merged long")
+    params = cmm.CMMParams()
+    merged = {(r["id"], r["target"]): r["near"] for r in cmm.merged_near(cmm.class_near(df, params), names, params.k).collect()}
+    plain = df.withColumn("class", F.when(F.col("class") >= 0, F.floor(F.col("class") / 2) * 2).otherwise(-1).cast("long"))
+    assert merged == {(r["id"], r["target"]): r["near"] for r in cmm.class_near(plain, params).collect()}
+
+
+def test_a_model_in_blocks_scores_the_same(spark):
+    _, df = frame(spark)
+    spheres = spark.createDataFrame([(i, [float(i % 4) * 3, float(i // 4) * 3], 2.0 + i % 3) for i in range(16)],
+                                    "cluster_id long, centre array<double>, radius double")
+    one = cmm.evaluate(df, spheres, d=2)
+    many = cmm.evaluate(df, spheres, d=2, limits=Limits(block_rows=5))
+    assert {tuple(r) for r in one.points.collect()} == {tuple(r) for r in many.points.collect()}
+    assert one.result.first() == many.result.first()
+
+
+def test_scores_at_the_end_of_a_job(spark):
+    """Micro and macro clusters of a run on the last rows: perfect ones, one cluster for all, and one without weight."""
+    rows = [(i, [float(i % 2) * 8 + (i % 5) * 0.1, (i % 3) * 0.1], i % 2, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, class long, t long")
+    feature = (F.count("*").cast("double").alias("n"), F.array(F.sum(F.col("x")[0]), F.sum(F.col("x")[1])).alias("ls"),
+               F.array(F.sum(F.col("x")[0] ** 2), F.sum(F.col("x")[1] ** 2)).alias("ss"))
+    micro = df.groupBy(F.col("class").alias("mc_id")).agg(*feature).unionByName(
+        spark.createDataFrame([(7, 0.0, [0.0, 0.0], [0.0, 0.0])], "mc_id long, n double, ls array<double>, ss array<double>"))
+    macro = df.groupBy(F.lit(0).cast("long").alias("cluster_id")).agg(*feature)
+    got = {r["level"]: r for r in jobs.score_run(df, ["t"], {"micro": micro, "macro": macro}, n=20).collect()}
+    last = np.array([x for _, x, _, _ in rows])
+    centres = np.array([last[np.arange(40) % 2 == c].mean(axis=0) for c in (0, 1)])
+    gaps = ((last[20:, None] - centres[None]) ** 2).sum(axis=2)
+    assert got["micro"]["clusters"] == 2 and got["micro"]["n_rows"] == got["macro"]["n_rows"] == 20
+    assert got["micro"]["sse"] == pytest.approx(gaps.min(axis=1).sum())
+    assert got["macro"]["sse"] == pytest.approx(((last[20:] - last.mean(axis=0)) ** 2).sum())
+    assert got["micro"]["cmm"] > got["macro"]["cmm"] and got["micro"]["misplaced"] == 1.0

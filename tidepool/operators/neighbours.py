@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,11 +59,12 @@ def closest_pair(centres: DataFrame, *, limits: Limits = LIMITS) -> DataFrame:
     return best.select("b.id_a", "b.id_b", F.sqrt("b.d2").alias("gap"))
 
 
-def knn_distances(points: DataFrame, window: DataFrame, k: int, *, x: str = "x", key: str = "id",
-                  group: str = "class", limits: Limits = LIMITS) -> DataFrame:
-    """(key, group, kd, n_found): mean distance of every point to its k nearest window rows of each group.
+def near_lists(points: DataFrame, window: DataFrame, k: int, *, x: str = "x", key: str = "id",
+               group: str = "class", limits: Limits = LIMITS) -> DataFrame:
+    """(key, group, near): sorted distances of every point to its k nearest window rows of each group.
 
-    The point itself (same key) does not count.  Groups with no other row are left out.
+    The point itself (same key) does not count.  Groups with no other row are left out.  Lists of two
+    groups merge into the list of their union, see ``merge_lists``.
     """
     schema = T.StructType([
         T.StructField(key, T.LongType()), T.StructField(group, T.LongType()),
@@ -108,9 +109,22 @@ def knn_distances(points: DataFrame, window: DataFrame, k: int, *, x: str = "x",
         part = pts.mapInArrow(run, schema)
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
-        return points.sparkSession.createDataFrame([], f"{key} long, {group} long, kd double, n_found int")
-    if pieces > 1:
-        merged = parts.groupBy(key, group).agg(F.flatten(F.collect_list("near")).alias("near"))
-        parts = merged.withColumn("near", F.slice(F.array_sort("near"), 1, k))
-    mean = F.aggregate("near", F.lit(0.0), lambda s, v: s + v) / F.size("near")
-    return parts.select(key, group, mean.alias("kd"), F.size("near").alias("n_found"))
+        return points.sparkSession.createDataFrame([], schema)
+    return merge_lists(parts, k, key, group) if pieces > 1 else parts
+
+
+def merge_lists(lists: DataFrame, k: int, key: str = "id", group: str = "class") -> DataFrame:
+    """One sorted list of at most k distances per (key, group)."""
+    merged = lists.groupBy(key, group).agg(F.flatten(F.collect_list("near")).alias("near"))
+    return merged.withColumn("near", F.slice(F.array_sort("near"), 1, k))
+
+
+def mean_of(near) -> Column:
+    return F.aggregate(near, F.lit(0.0), lambda s, v: s + v) / F.size(near)
+
+
+def knn_distances(points: DataFrame, window: DataFrame, k: int, *, x: str = "x", key: str = "id",
+                  group: str = "class", limits: Limits = LIMITS) -> DataFrame:
+    """(key, group, kd, n_found): mean distance of every point to its k nearest window rows of each group."""
+    lists = near_lists(points, window, k, x=x, key=key, group=group, limits=limits)
+    return lists.select(key, group, mean_of("near").alias("kd"), F.size("near").alias("n_found"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators import evaluate
+from tidepool.operators import cmm, evaluate
 from tidepool.operators.rows import sample_to_fill, tokens
 from tidepool.plans import clustream, clustree, denstream, dstream, streaming_kmeans, streamkm
 from tidepool.schema import DECAYING_CLUSTER
+from tidepool.session import LIMITS, Limits, cut_lineage, width_of
 from tidepool.sources.store import KeyedTable, ModelStore, save_model
 from tidepool.streaming.runner import run_online
 
@@ -98,3 +99,20 @@ def score_sse(points: DataFrame, clusters: DataFrame) -> DataFrame:
     """SSE of rows against final clusters (cluster_id, centre)."""
     return evaluate.sse_given(points, clusters.select(F.col("cluster_id").alias("mc_id"), "centre"))
 
+
+
+def score_run(rows: DataFrame, order: list, clusters: dict[str, DataFrame], *, weight: str = "n", n: int = 10_000,
+              params: cmm.CMMParams = cmm.CMMParams(), limits: Limits = LIMITS) -> DataFrame:
+    """Scores at the end of a job: one row per level with SSE and mapping measure on the last n labelled rows.
+
+    rows      labelled points of the stream (id, x, class); the last n by ``order`` are the window
+    clusters  level to cluster features, e.g. ``{"macro": final, "micro": state.model}``; their ids are ``cluster_id`` or
+              ``mc_id``, clusters of no weight do not count
+    weight    name of the clusters' count, "w" for decaying ones
+    """
+    window = cmm.evaluation_window(rows.select("id", "x", "class", *[c for c in order if c not in ("id", "x", "class")]), order, n)
+    window = cut_lineage(window.select("id", "x", "class"))
+    levels = {level: cmm.spheres_of(model.filter(F.col(weight) > 0), n=weight,
+                                    cluster_id="cluster_id" if "cluster_id" in model.columns else "mc_id")
+              for level, model in clusters.items()}
+    return cmm.score_levels(window, levels, d=width_of(window), params=params, limits=limits)
