@@ -158,3 +158,48 @@ def test_trial_insertion(spark, limits):
     for mc in set(v[1] for v in got.values()):
         want = sum(2 ** (-lam * (14 - t[i])) for i in range(200) if got[i][1] == mc)
         assert merged[mc] == pytest.approx(want)
+
+
+def test_centroid_index_equals_the_flat_lookup_with_fewer_distances():
+    from tidepool.operators import centroid_index
+    from tidepool.operators.blocks import Block, nearest_index
+
+    rng = np.random.default_rng(11)
+    blobs = rng.normal(size=(50, 20)) * 5
+    narrow = blobs[rng.integers(0, 50, 10_000)] + rng.normal(size=(10_000, 20)) * 0.3
+    whole = rng.integers(0, 70, (10_000, 2)).astype(float)  # repeated centres and ties
+    for c, x in [(rng.random((10_000, 3)), rng.random((9_000, 3))), (narrow, narrow[:3000] + 0.01), (whole, whole[:3000] + 0.5)]:
+        index = centroid_index.build(c)
+        flat, far = nearest_index(x, c)
+        idx, d2, counted = centroid_index.search(x, c, index)
+        assert (idx == flat).all() and np.allclose(d2, far, rtol=1e-12, atol=0)
+        assert counted * 5 < len(x) * len(c)
+        assert (centroid_index.nearest(x, Block({"centre": c}, index))[0] == flat).all()
+
+
+def test_centroid_index_with_equal_missing_and_scattered_centres():
+    from tidepool.operators import centroid_index
+    from tidepool.operators.blocks import Block, nearest_index
+
+    rng = np.random.default_rng(12)
+    holes = rng.random((900, 2))
+    holes[::3] = np.nan
+    for c in (np.ones((800, 2)), holes, rng.normal(size=(800, 64)), rng.random((900, 2)) * 1e-7 + 1e6):
+        x = np.vstack([rng.random((300, c.shape[1])) * 2, c[1:4], np.full((1, c.shape[1]), np.nan)])
+        flat, far = nearest_index(x, c)
+        idx, d2 = centroid_index.nearest(x, Block({"centre": c}, centroid_index.build(c)))
+        lost = ~np.isfinite(far)
+        assert (lost == ~np.isfinite(d2)).all() and (idx == flat)[~lost].all() and np.allclose(d2[~lost], far[~lost])
+    assert centroid_index.build(np.full((5, 2), np.nan)) is None
+
+
+def test_indexed_lookup_on_rows_and_in_the_fold(spark):
+    rng = np.random.default_rng(13)
+    x, c = rng.random((400, 3)), rng.random((700, 3))
+    pts, centres = points_df(spark, x), centres_df(spark, c)
+    rows = []
+    for limits in (Limits(index_rows=10), Limits(index_rows=10 ** 9), Limits(index_rows=10, block_rows=300)):
+        near = {r["id"]: r["mc_id"] for r in assign.assign_nearest(pts, centres, limits=limits).collect()}
+        sums = fold.fold_rows(pts, centres, limits=limits).groupBy("mc_id").agg(F.sum("n").alias("n"))
+        rows.append((near, {r["mc_id"]: r["n"] for r in sums.collect()}))
+    assert rows[0] == rows[1] == rows[2]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidepool.catalog.data import (ITEMS, TILES, VECTORS, VISITS, Registry, items, label_model, r6, sql_r6,
-                                   tiles, vectors, visits)
+from tidepool.catalog.data import (ITEMS, ORDERS2D, TILES, VECTORS, VISITS, Registry, items, label_model, orders2d, r6,
+                                   sql_r6, table, tiles, vectors, visits)
 from tidepool.functions import summary
 from tidepool.functions.normal import normal_quantile_sql
 from tidepool.operators import assign, cf, neighbours
@@ -49,6 +49,24 @@ def assign_nearest_items(spark, sf):
     return near.groupBy("mc_id").agg(F.count("*").alias("n"), r6(F.sum("dist"), "dist"))
 
 
+@add("assign_many_centres", f"""
+WITH {ORDERS2D},
+centres AS (SELECT o_custkey AS mc_id, max(o_totalprice) / 65536 AS c0, date_diff('day', DATE '1995-01-01', CAST(max(o_orderdate) AS DATE)) / 512.0::DOUBLE AS c1
+            FROM orders GROUP BY o_custkey),
+pos AS (SELECT x0, x1, count(*) AS k FROM orders2d GROUP BY x0, x1),
+d AS (SELECT x0, x1, k, mc_id, (x0-c0)*(x0-c0) + (x1-c1)*(x1-c1) AS d2 FROM pos CROSS JOIN centres),
+least AS (SELECT x0, x1, min(d2) AS d2 FROM d GROUP BY x0, x1),
+near AS (SELECT x0, x1, any_value(k) AS k, min(mc_id) AS mc_id, sqrt(any_value(d2)) AS dist FROM d JOIN least USING (x0, x1, d2) GROUP BY x0, x1)
+SELECT mc_id, sum(k)::BIGINT AS n, {sql_r6('max(dist)', 'dist')} FROM near GROUP BY mc_id""")
+def assign_many_centres(spark, sf):
+    """A centre a customer, too many to try for every row: the lookup goes through the index over the centres."""
+    day = F.datediff(F.max("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    centres = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("mc_id")).agg(
+        F.array(F.max("o_totalprice") / 65536, day / 512.0).alias("centre"))
+    near = assign.assign_nearest(orders2d(spark, sf), centres)
+    return near.groupBy("mc_id").agg(F.count("*").alias("n"), r6(F.max("dist"), "dist"))
+
+
 @add("assign_radius", f"""
 WITH {ITEMS}, {TILES}, {TILE_SPHERES}, {TILE_NEAR}
 SELECT CASE WHEN dist <= 1.2 * rms THEN mc_id ELSE -1 END AS mc_id, sum(k)::BIGINT AS n, sum(st)::BIGINT AS lst

@@ -2,7 +2,7 @@
 
 The model reaches the tasks in bounded blocks (``operators.blocks``); the points are scanned
 once per block and never shuffled.  A small model is inlined as column expressions and stays in
-whole-stage code generation.  Ties go to the smallest id.
+whole-stage code generation; a large one carries a two-level index (``operators.centroid_index``).  Ties go to the smallest id.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepool.functions import summary
-from tidepool.operators.blocks import (Block, list_column, map_batches, nearest_index, read_blocks,
-                                       squared_distances, vector_matrix)
+from tidepool.operators.blocks import Block, list_column, map_batches, read_blocks, squared_distances, vector_matrix
+from tidepool.operators.centroid_index import indexed, nearest
 from tidepool.session import LIMITS, MAX_FLOAT, Limits
 
 NONE = -1
@@ -42,7 +42,7 @@ def assign_nearest(points: DataFrame, centres: DataFrame, *, x: str = "x", out:
         if first and flat and block["centre"].size <= limits.inline_terms and len(block) <= 32:
             result = _inline_nearest(result, block, x, out, dist, fields)
         else:
-            result = _block_nearest(result, block, x, out, dist, fields, first)
+            result = _block_nearest(result, indexed(block, limits), x, out, dist, fields, first)
         first = False
     if first:
         result = points.withColumns({out: F.lit(NONE).cast("long"), dist: F.lit(MAX_FLOAT),
@@ -75,7 +75,7 @@ def _block_nearest(points, block: Block, x, out, dist, fields, first) -> DataFra
     def kernel(batch: pa.RecordBatch):
         b = shared.value
         rows = vector_matrix(batch.column(x), b["centre"].shape[1])
-        idx, d2 = nearest_index(rows, b["centre"])
+        idx, d2 = nearest(rows, b)
         found = np.sqrt(d2)
         lost = ~np.isfinite(found)
         label = np.where(lost, NONE, b["mc_id"][idx])
@@ -189,7 +189,7 @@ def _try_kind(points, model, kind, eps, lam, factor, x, t, limits) -> DataFrame:
     if block is None or len(block) == 0:
         return points
     if next(blocks, None) is None:
-        return _trial_one_block(points, block, kind, eps, lam, factor, x, t)
+        return _trial_one_block(points, indexed(block, limits), kind, eps, lam, factor, x, t)
     # A model of several blocks: carry the nearest cluster's sums along and test afterwards.
     renamed = columns.select("mc_id", "centre", F.col("w").alias("_w"), F.col("ls").alias("_ls"),
                              F.col("ss").alias("_ss"), F.col("t_last").cast("double").alias("_tl"))
@@ -228,7 +228,7 @@ def _trial_one_block(points, block, kind, eps, lam, factor, x, t) -> DataFrame:
         label = old.copy()
         if len(open_rows):
             part = rows[open_rows]
-            idx, _ = nearest_index(part, b["centre"])
+            idx, _ = nearest(part, b)
             radius = trial_radius(part, when[open_rows] - b["t_last"][idx], b["w"][idx], b["ls"][idx], b["ss"][idx],
                                   lam, factor)
             ok = radius <= eps

@@ -23,9 +23,10 @@ from tidepool.session import LIMITS, Limits, ship_package
 
 @dataclass
 class Block:
-    """Columns of one model piece: scalars as 1-d arrays, vectors as 2-d arrays."""
+    """Columns of one model piece: scalars as 1-d arrays, vectors as 2-d arrays; ``index`` may hold one over its centres."""
 
     columns: dict[str, np.ndarray]
+    index: object | None = None
 
     def __len__(self) -> int:
         return len(next(iter(self.columns.values()))) if self.columns else 0

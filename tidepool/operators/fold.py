@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from tidepool.functions import summary
 from tidepool.operators.assign import NONE, assign_decaying, assign_nearest, assign_to_spheres, trial_radius
-from tidepool.operators.blocks import list_column, nearest_index, read_blocks, vector_matrix
+from tidepool.operators.blocks import list_column, read_blocks, vector_matrix
+from tidepool.operators.centroid_index import indexed, nearest
 from tidepool.operators.cf import point_features
 from tidepool.schema import CLUSTER_FEATURE, VECTOR
 from tidepool.session import LIMITS, Limits
@@ -36,7 +37,9 @@ def one_block(model: DataFrame, order: str, limits: Limits = LIMITS):
     first = next(blocks, None)
     second = next(blocks, None) if first is not None else None
     blocks.close()
-    return first if second is None else None
+    if first is None or second is not None:
+        return None
+    return indexed(first, limits) if "centre" in first else first
 
 
 def _group_sums(label, values, q):
@@ -80,7 +83,7 @@ def fold_rows(points: DataFrame, spheres: DataFrame, *, x: str = "x", t: str | N
             w = batch.column("w").to_numpy(zero_copy_only=False)
             d = rows.shape[1]
             if q:
-                idx, d2 = nearest_index(rows, b["centre"])
+                idx, d2 = nearest(rows, b)
                 hit = np.isfinite(d2)
                 if bound:
                     hit &= np.sqrt(d2) <= b["radius"][idx]
@@ -166,7 +169,7 @@ def fold_decaying(points: DataFrame, model: DataFrame, *, eps: float, lam: float
                 if not len(open_rows):
                     break
                 part = rows[open_rows]
-                idx, _ = nearest_index(part, b["centre"])
+                idx, _ = nearest(part, b)
                 ok = trial_radius(part, when[open_rows] - b["t_last"][idx], b["w"][idx], b["ls"][idx], b["ss"][idx],
                                   lam, factor) <= eps
                 if ok.any():

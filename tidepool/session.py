@@ -21,12 +21,14 @@ class Limits:
     block_rows / block_bytes   size of one broadcast piece of a model; larger models are
                                broadcast piece by piece, see ``operators.blocks``
     fold_rows                  rows that a coreset is reduced to before its last round
+    index_rows                 centres from which a lookup goes through a two-level index
     inline_terms               q*d up to which a model is inlined as column expressions
     """
 
     block_rows: int = 65_536
     block_bytes: int = 64 << 20
     fold_rows: int = 35_000
+    index_rows: int = 512
     inline_terms: int = 96
 
 
