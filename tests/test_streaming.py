@@ -11,6 +11,7 @@ from tidepool.plans import dstream, streamkm
 from tidepool.session import cut_lineage
 from tidepool.sources import readers
 from tidepool.sources.store import KeyedTable, ModelStore, load_model
+from tidepool.operators import snapshots
 from tidepool.streaming import jobs, keyed
 from tidepool.streaming.metrics import BatchMeter, PhaseTimer, throughput
 from tidepool.streaming.runner import restore
@@ -108,6 +109,31 @@ def test_clustream_from_its_own_first_batch(spark, folder):
     assert restore(store, cl.Clustering).model.count() == 4
 
 
+def test_record_job_from_its_own_first_batch(spark, folder):
+    store = ModelStore(spark, f"file://{folder}/store")
+    params = cl.CluStreamParams.per_record(4, horizon=1e9)
+    jobs.run_clustream_records(stream(spark, folder), params, jobs.clustream_from_buffer(params, 60), store,
+                               f"file://{folder}/c").awaitTermination()
+    state = restore(store, cl.Clustering)
+    total = state.model.agg(F.sum("n"), F.count("*")).first()
+    assert state.rows == 360 and tuple(total) == (364.0, 4)
+
+
+def test_lineage_ids_are_pruned_between_snapshots(spark, folder):
+    snaps = f"file://{folder}/snaps"
+    sizes = {}
+    for every in (1, 10 ** 9):
+        store = ModelStore(spark, f"file://{folder}/store{every}")
+        params = cl.CluStreamParams(q=5, m=5, horizon=1e9, t_factor=0.2)
+        jobs.run_clustream(stream(spark, folder), params, start(spark), store, f"file://{folder}/c{every}", prune_every=every,
+                           pyramid=(snaps + str(every), 2, 2)).awaitTermination()
+        sizes[every] = restore(store, cl.Clustering).model.agg(F.sum(F.size("ids")), F.sum("n")).first()
+    assert sizes[1][1] == sizes[10 ** 9][1] and sizes[1][0] < sizes[10 ** 9][0]
+    for horizon in (1, 2, 3):
+        got, want = (sorted((r["n"], r["lst"]) for r in snapshots.horizon_query(spark, snaps + str(e), 4, horizon).collect()) for e in sizes)
+        assert got == want
+
+
 def test_other_jobs(spark, folder):
     pts = readers.vectors_from_text(spark, str(folder / "in")).limit(0)
     assert pts.columns == ["x"]

@@ -382,6 +382,27 @@ def snapshot_diff(spark, sf):
                       F.col("lst").cast("long").alias("lst"))
 
 
+@add("snapshot_pruned", f"""
+WITH {VISITS}, old AS (SELECT DISTINCT user_id FROM visits WHERE t <= 9), recent AS (SELECT * FROM visits WHERE t <= 23),
+links AS (SELECT user_id % 4 AS mc_id, count(DISTINCT CASE WHEN o.user_id IS NULL THEN -1 ELSE user_id % 12 END) AS n_ids
+  FROM (SELECT DISTINCT r.user_id FROM recent r) r LEFT JOIN old o USING (user_id) GROUP BY 1),
+new AS (SELECT user_id % 4 AS mc_id, count(*) AS n, {sql_r6('sum(value)', 'ls')}, sum(t)::BIGINT AS lst FROM recent WHERE t > 9 GROUP BY 1)
+SELECT mc_id, n, ls, lst, n_ids FROM new JOIN links USING (mc_id)""")
+def snapshot_pruned(spark, sf):
+    """A lineage id a user: the newer model keeps one for each older cluster that went into it and one for all users since, and the
+    horizon query still takes off exactly the older clusters."""
+    v = visits(spark, sf)
+
+    def snapshot(rows, width):
+        rows = rows.withColumn("mc_id", F.col("user_id") % width)
+        return cf.cf_aggregate(rows, d=1).join(rows.groupBy("mc_id").agg(F.collect_set("user_id").alias("ids")), "mc_id")
+    old, new = snapshot(v.filter("t <= 9"), 12), snapshot(v.filter("t <= 23"), 4)
+    pruned = snapshots.prune_lineage(new, old.withColumn("tick", F.lit(9)))
+    out = snapshots.horizon_features(pruned, old).join(pruned.select("mc_id", F.size("ids").alias("n_ids")), "mc_id")
+    return out.select("mc_id", F.col("n").cast("long").alias("n"), r6(F.col("ls")[0], "ls"), F.col("lst").cast("long").alias("lst"),
+                      F.col("n_ids").cast("long").alias("n_ids"))
+
+
 @add("grid_average_thresholds", f"""
 WITH {ITEMS}, {CELLS} SELECT {sql_r6('3.0 * avg(density)', 'dm')}, {sql_r6('0.8 * avg(density)', 'dl')} FROM cells""")
 def grid_average_thresholds(spark, sf):

@@ -21,12 +21,12 @@ WITH {ITEMS}, {SEEDS} SELECT {sql_r6('any_value(k) + count(*)', 'n')}, {sql_r6('
   {sql_r6('any_value(s2) + sum(x2)', 'ls2')}, {sql_r6('sum(t)', 'lst')}, any_value(k)::BIGINT AS clusters FROM items CROSS JOIN seeds"""
 
 
-def _totals(spark, sf, **params):
+def _totals(spark, sf, fold=clustream.step, **params):
     """The horizon is long, so clusters are merged and never given up: all counts and sums stay."""
     state = clustream.Clustering(clustream._model(assign.centres_of(tiles(spark, sf))))
     chosen = clustream.CluStreamParams(q=45, m=50, horizon=1e9, t_factor=1.5, **params)
     for batch in _years(spark, sf):
-        state = clustream.step(state, batch, chosen)
+        state = fold(state, batch, chosen)
     return state.model.agg(r6(F.sum("n"), "n"), *[r6(F.sum(F.col("ls")[j]), f"ls{j}") for j in range(3)], r6(F.sum("lst"), "lst"),
                            F.count("*").alias("clusters"))
 
@@ -76,6 +76,26 @@ def clustream_sites_bounded(spark, sf):
     return _sites(spark, sf, left_most=64)
 
 
+@add("clustream_records_totals", CLUSTREAM_TOTALS)
+def clustream_records_totals(spark, sf):
+    """Record by record in every task, changes of the tasks added up: the same totals."""
+    return _totals(spark, sf, fold=clustream.record_step)
+
+
+@add("clustream_records_sites", f"""
+WITH {ITEMS} SELECT {sql_r6('count(*)', 'n')}, {sql_r6('sum(pow(4, l_linenumber))', 'ls0')}, {sql_r6('sum(-pow(4, l_linenumber))', 'ls1')},
+  {sql_r6('sum(pow(4, l_linenumber) / 2)', 'ls2')}, {sql_r6('sum(t + 10000)', 'lst')}, {sql_r6('sum((t + 10000) * (t + 10000))', 'sst')}
+FROM items GROUP BY l_linenumber HAVING count(*) > 1""")
+def clustream_records_sites(spark, sf):
+    """Rows at one place a line number, each place farther off than all nearer ones: the first record of a place in a task opens a
+    cluster in the stalest slot, the others join it, and the clusters that several tasks opened at a place become one."""
+    scale = F.pow(F.lit(4.0), F.col("l_linenumber"))
+    batch = items(spark, sf).select(F.array(scale, -scale, scale / 2).alias("x"), (F.col("t") + 10_000).alias("t"))
+    state = clustream.Clustering(clustream._model(assign.centres_of(tiles(spark, sf))))
+    model = clustream.record_step(state, batch.repartition(5), clustream.CluStreamParams(q=45, m=10 ** 9, horizon=5000.0)).model
+    return model.select(r6("n", "n"), *[r6(F.col("ls")[j], f"ls{j}") for j in range(3)], r6("lst", "lst"), r6("sst", "sst")).filter("n > 1")
+
+
 RUN_LAM = 0.001
 
 

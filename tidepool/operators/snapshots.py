@@ -60,6 +60,23 @@ def horizon_features(newer: DataFrame, older: DataFrame) -> DataFrame:
     return cf_merge(plus.unionByName(minus)).filter("n > 0")
 
 
+def prune_lineage(model: DataFrame, older: DataFrame) -> DataFrame:
+    """The model with one lineage id for every cluster of a kept snapshot that went into it, and one for all it got since.
+
+    ``older`` is (tick, mc_id, ids) of the snapshots still kept, all before the model.  Clusters only ever join, so ids that share a
+    cluster in the earliest snapshot that knows them, and in the model, share one in all between and ever after: the largest stands for all.
+    A horizon query against any of these snapshots finds the same links, and the number of ids is at most clusters x (snapshots + 1).
+    The largest id of all stays, so that new ids remain new.  Clusters without ids keep none.
+    """
+    now = model.select("mc_id", F.explode("ids").alias("lid"))
+    past = older.select("tick", F.col("mc_id").alias("_at"), F.explode("ids").alias("lid"))
+    known = past.groupBy("lid").agg(F.min(F.struct("tick", "_at")).alias("_seen"))
+    kept = (now.join(known, "lid", "left").groupBy("mc_id", "_seen").agg(F.max("lid").alias("lid"))
+            .groupBy("mc_id").agg(F.sort_array(F.collect_list("lid")).alias("_ids")))
+    ids = F.coalesce("_ids", F.when(F.col("ids").isNotNull(), F.array().cast("array<bigint>")))
+    return model.join(kept, "mc_id", "left").withColumn("ids", ids).select(*model.columns)
+
+
 # ---- store ------------------------------------------------------------------------------------
 
 
@@ -96,6 +113,16 @@ def load(spark: SparkSession, folder: str, tick: int) -> DataFrame:
     return spark.read.parquet(f"{folder}/tick={tick}")
 
 
+def prune_against_saved(model: DataFrame, folder: str, before: int) -> DataFrame:
+    """``prune_lineage`` against the snapshots on disk of ticks below ``before``."""
+    spark = model.sparkSession
+    ticks = [r["tick"] for r in saved_ticks(spark, folder).filter(F.col("tick") < before).collect()]
+    older = spark.createDataFrame([], "tick long, mc_id long, ids array<bigint>")
+    for tick in ticks:  # logarithmically many
+        older = older.unionByName(load(spark, folder, tick).select(F.lit(tick).cast("long").alias("tick"), "mc_id", "ids"))
+    return prune_lineage(model, older)
+
+
 def horizon_query(spark: SparkSession, folder: str, now: int, horizon: int) -> DataFrame:
     """Cluster features of the last ``horizon`` ticks before ``now``."""
     row = pick(saved_ticks(spark, folder), now, horizon).first()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.functions import vec
-from tidepool.operators import kmeans
+from tidepool.operators import kmeans, record_fold
 from tidepool.operators.assign import absorb_radii
 from tidepool.operators.cf import cf_merge
 from tidepool.operators.fold import fold_rows
@@ -132,6 +132,23 @@ def step(state: Clustering, batch: DataFrame, params: CluStreamParams, *, x: str
     return Clustering(model, now, state.batches + 1, state.rows + int(seen["n"]), state.left_over + seen["left"])
 
 
+def record_step(state: Clustering, batch: DataFrame, params: CluStreamParams, *, x: str = "x", t: str = "t",
+                keep=cut_lineage, limits: Limits = LIMITS) -> Clustering:
+    """Fold one batch record by record: every record meets the model its predecessor in the task left.
+
+    The tasks are the batch's partitions; repartition it beforehand for another number.  The model carries no lineage.
+    ``left_over`` counts the clusters that tasks opened and still had at the end.
+    """
+    model = state.model.select("mc_id", *record_fold.FEATURES)
+    parts = cut_lineage(record_fold.changes(batch, model, m=params.m, horizon=params.horizon, factor=params.t_factor, x=x, t=t, limits=limits))
+    opened = (F.size("origins") == 0) & (F.col("n") > 0)
+    seen = parts.agg(F.sum("met").alias("n"), F.max("t").alias("t"), F.count_if(opened).alias("opened")).first()
+    if seen["n"] is None:
+        return replace(state, model=keep(model), batches=state.batches + 1)
+    model = keep(record_fold.apply_changes(model, parts, params.q))
+    return Clustering(model, max(state.clock, seen["t"]), state.batches + 1, state.rows + int(seen["n"]), state.left_over + seen["opened"])
+
+
 def final_clusters(model: DataFrame, k: int, *, iterations: int = 100, seed: int = 0, limits: Limits = LIMITS) -> DataFrame:
     """(cluster_id, n, ls, ss, lst, sst): macro clusters by weighted k-means, features added up."""
     filled = model.filter("n > 0")

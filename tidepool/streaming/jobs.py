@@ -27,6 +27,13 @@ def run_clustream(stream: DataFrame, params: clustream.CluStreamParams, initial,
                       state_type=clustream.Clustering, **kw)
 
 
+def run_clustream_records(stream: DataFrame, params: clustream.CluStreamParams, initial, store: ModelStore, checkpoint: str, **kw):
+    """Like ``run_clustream``, each record against the model its predecessor left; parameters as of ``CluStreamParams.per_record``."""
+    start = initial if callable(initial) else clustream.Clustering(initial)
+    return run_online(stream, start, _step(clustream.record_step, params), store, checkpoint,
+                      state_type=clustream.Clustering, **kw)
+
+
 def clustream_from_buffer(params: clustream.CluStreamParams, need: int, *, seed: int = 0):
     """Initial state from the stream itself: k-means seeds on a sample of the first batch."""
     def start(batch: DataFrame):

@@ -27,14 +27,15 @@ def restore(store: ModelStore, kind: type, version: int | None = None):
 
 def run_online(stream: DataFrame, initial, step: Callable, store: ModelStore, checkpoint: str, *,
                state_type: type | None = None, watch: Callable | None = None,
-               pyramid: tuple[str, int, int] | None = None,
+               pyramid: tuple[str, int, int] | None = None, prune_every: int = 16,
                timer: PhaseTimer | None = None, trigger: dict | None = None, name: str | None = None) -> StreamingQuery:
     """Start ``step(state, batch, keep=...)`` on every micro-batch.
 
     initial     state before the first batch, or a function of the first batch
     state_type  class of the state, needed if ``initial`` is a function
     watch       called with (state, batch, batch_id) after each batch, e.g. to score it
-    pyramid     (folder, alpha, l): also keep pyramidal snapshots by batch number
+    pyramid     (folder, alpha, l): also keep pyramidal snapshots by batch number; every ``prune_every`` batches the lineage ids
+                that no kept snapshot tells apart are given up, so that models do not grow
 
     The store belongs to the checkpoint: another checkpoint on it, or a missing version, is an error.
     """
@@ -55,6 +56,8 @@ def run_online(stream: DataFrame, initial, step: Callable, store: ModelStore, ch
                                "the store and the checkpoint do not belong together")
         with timer.phase("load"):
             state = restore(store, state_type, batch_id) if batch_id else initial(batch) if callable(initial) else initial
+        if pyramid and batch_id and batch_id % prune_every == 0 and "ids" in state.model.columns:
+            state.model = snapshots.prune_against_saved(state.model, pyramid[0], version)
         with timer.phase("update"):
             state = step(state, batch, keep=lambda df: store.write(df, version))
             if not _wrote(store, version):
