@@ -14,7 +14,7 @@ from tidepool.sources.store import KeyedTable, ModelStore, load_model
 from tidepool.operators import snapshots
 from tidepool.streaming import jobs, keyed
 from tidepool.streaming.metrics import BatchMeter, PhaseTimer, throughput
-from tidepool.streaming.runner import restore
+from tidepool.streaming.runner import late_counts, restore
 
 RNG = np.random.default_rng(21)
 X = np.concatenate([RNG.normal(size=(120, 2)) * 0.2 + c for c in ([0, 0], [4, 4], [8, 0])])
@@ -134,6 +134,25 @@ def test_lineage_ids_are_pruned_between_snapshots(spark, folder):
         assert got == want
 
 
+@pytest.mark.parametrize("late,rows,dropped", [(None, 366, 0), (("t", 1.0), 364, 2)])
+def test_late_rows_with_and_without_a_bound(spark, folder, late, rows, dropped):
+    for b, text in ((4, "1/0.0,0.0\n1/4.0,4.0\n2/0.0,0.0\n"), (5, "9/0.0,0.0\n2/4.0,4.0\n"), (6, "8/0.0,0.0\n")):
+        (folder / "in" / f"part{b}.txt").write_text(text)
+    store, ckpt = ModelStore(spark, f"file://{folder}/store"), f"file://{folder}/ckpt"
+    params = cl.CluStreamParams(q=5, m=5, horizon=1e9)
+    # Times 0 to 3 come first; then 1, 1 and 2, where 2 is the oldest allowed; then 9 with a 2 that is late to it alone; then 8.
+    files = sorted((folder / "in").iterdir())
+    for f in files:
+        f.rename(folder / f.name)
+    for b, f in enumerate(files):
+        shutil.copy(folder / f.name, folder / "in" / f.name)
+        jobs.run_clustream(stream(spark, folder), params, start(spark), store, ckpt, late=late).awaitTermination()
+    state = restore(store, cl.Clustering)
+    assert state.rows == rows and state.batches == 7
+    assert late_counts(store)["late_rows"] == dropped
+    assert late_counts(store)["late_clock"] == (9.0 if late else None)
+
+
 def test_other_jobs(spark, folder):
     pts = readers.vectors_from_text(spark, str(folder / "in")).limit(0)
     assert pts.columns == ["x"]
