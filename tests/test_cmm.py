@@ -111,3 +111,38 @@ def test_scores_at_the_end_of_a_job(spark):
     assert got["micro"]["sse"] == pytest.approx(gaps.min(axis=1).sum())
     assert got["macro"]["sse"] == pytest.approx(((last[20:] - last.mean(axis=0)) ** 2).sum())
     assert got["micro"]["cmm"] > got["macro"]["cmm"] and got["micro"]["misplaced"] == 1.0
+
+
+def test_a_large_window_meets_in_blocks(spark, monkeypatch):
+    """Blocks of points meet blocks of the window: nothing is collected, and lists equal those of the plain sums, ties, repeated and missing keys included."""
+    from tidepool.operators import neighbours, pairs
+
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(600, 16)), 1)
+    x[300:340] = x[0]  # a crowd of copies
+    x[7, 3], keys = np.inf, [i if i % 50 else None for i in range(600)]
+    keys[21] = keys[22]
+    rows = [(k, None if i == 11 else v.tolist(), i % 3) for i, (k, v) in enumerate(zip(keys, x))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, class long")
+    want = []
+    for i, (key, v, _) in enumerate(rows):
+        for c in range(3):
+            others = [j for j in range(600) if j % 3 == c and (key is None or keys[j] != key) and rows[j][1] is not None and j != 7]
+            if v is not None and i != 7:
+                want.append((key, c, tuple(sorted(np.sqrt(((x[others] - x[i]) ** 2).sum(axis=1)))[:2])))
+    monkeypatch.setattr(neighbours, "WINDOW_ROWS", 100)
+    monkeypatch.setattr(pairs, "LEAST_ROWS", 150)
+    monkeypatch.setattr(neighbours, "read_blocks", None)  # no window in the driver
+    got = [(r["id"], r["class"], tuple(r["near"])) for r in neighbours.near_lists(df, df, 2).collect()]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1], np.round(r[2], 9).tolist())
+    got, want = sorted(got, key=order), sorted(want, key=order)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-12)
+
+
+def test_points_are_compared_once(spark):
+    """Whatever reads the distances afterwards does not compare the points again."""
+    _, df = frame(spark)
+    kd = cmm.class_knn(df, cmm.CMMParams())
+    plan = cmm.class_connections(cmm.connectivity(kd, cmm.class_limits(kd), cmm.CMMParams()))._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan
