@@ -499,3 +499,17 @@ def test_merging_models_of_many_keys_is_bounded(spark):
     out = keyed.merge_models(models, 20, most=100).collect()
     assert len(out) == 20 and sum(r.n for r in out) == 6000 and sum(r.lst for r in out) == 12_000
     assert np.allclose(sum(np.array(r.ls) for r in out), 2 * x.sum(axis=0))
+
+
+def test_trees_are_laid_out_for_the_sums(spark, monkeypatch):
+    """A million left-over rows behind a few sums ask for one task of trees, not for a share of a million."""
+    from tidepool.operators import settle
+
+    seen, plain = [], settle.bounded
+    monkeypatch.setattr(settle, "bounded", lambda left, most, rows=None, **kw: seen.append(rows) or plain(left, most, rows=rows, **kw))
+    model = spark.createDataFrame([(i, 2.0, [float(2 * i)], [2.0 * i * i + 0.5], 0.0, 0.0, [i]) for i in range(4)],
+                                  "mc_id long, n double, ls array<double>, ss array<double>, lst double, sst double, ids array<long>")
+    left = spark.createDataFrame([(1.0, [50.0 + i % 3 * 50], [(50.0 + i % 3 * 50) ** 2], 9.0, 81.0, 9.0) for i in range(60)],
+                                 "n double, ls array<double>, ss array<double>, lst double, sst double, t double")
+    out = settle.settle_in_slots(model, left, now=9.0, m=10, horizon=1.0, factor=2.0, most=5, rows=1_000_000).collect()
+    assert seen == [6] and sorted(r["n"] for r in out) == [2.0, 20.0, 20.0, 20.0]

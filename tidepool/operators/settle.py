@@ -24,7 +24,7 @@ from tidepool.operators.blocks import list_column, nearest_index, squared_distan
 from tidepool.operators.cf import cf_merge, vector_sum
 from tidepool.operators.feature_tree import bounded
 from tidepool.schema import DECAYING_CLUSTER, MICRO_CLUSTER, VECTOR
-from tidepool.session import MAX_FLOAT, ship_package, width_of
+from tidepool.session import MAX_FLOAT, cut_lineage, ship_package, width_of
 
 LEFT_OVER = T.StructType([T.StructField("n", T.DoubleType()), T.StructField("ls", VECTOR), T.StructField("ss", VECTOR),
                           T.StructField("lst", T.DoubleType()), T.StructField("sst", T.DoubleType()),
@@ -163,7 +163,10 @@ def settle_in_slots(model: DataFrame, left: DataFrame, *, now: float, m: float,
     ship_package(model.sparkSession)
     if not exact:
         width, span = model_scale(model, factor), horizon / SPANS
-        left = condense(left, width=width, span=span) if width else left
+        if width:
+            left = cut_lineage(condense(left, width=width, span=span))
+            # The trees are laid out for the sums, not for the rows behind them; they see the sums of many rows at least once.
+            rows = max(left.count(), min(most + 1, most + 1 if rows is None else rows))
         pace = width / span if 0 < span < math.inf and width else 0.0
         left = bounded(left, most, rows=rows, width=width or 0.0, pace=pace)
     rows = left.select(F.lit(1).alias("_k"), "n", "ls", "ss", "lst", "sst", "t")
