@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import grid as g
-from tidepool.operators import dbscan, grid, pivots
-from tidepool.operators.components import connected_components
+from tidepool.operators import dbscan, grid, pairs, pivots
+from tidepool.operators.components import connected_components, forest
 from tidepool.plans import dstream
 from tidepool.session import Limits, cut_lineage
 
@@ -199,3 +199,25 @@ def test_dstream_ticks_decay_remove_and_restore(spark):
 def test_truncation_is_toward_zero(spark):
     df = spark.createDataFrame([([-0.5, 1.9],)], "x array<double>")
     assert df.select(g.cell_of("x", [1.0, 1.0]).alias("c")).first()["c"] == [0, 1]
+
+
+def test_a_wide_reach_meets_in_blocks(spark, monkeypatch):
+    """Where rows would visit most pivots nothing is sent to rings, and what is found equals comparing all."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(120, 16)), rng.normal(size=(60, 16)) * 0.3 + 4])
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist(), float(i)) for i, v in zip(ids, x)], "id long, x array<double>, value double")
+    reach = 4.5
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) < reach
+    where = pivots.choose(df, reach)
+    assert not where.exclude(pivots.BLOCKS)
+    monkeypatch.setattr(pivots, "_place", None)
+    monkeypatch.setattr(pairs, "LEAST_ROWS", 40)
+    mass = dict(pivots.meet(df, df, reach, where, "id long, mass double", pivots.mass_kernel).collect())
+    assert mass == {int(i): float(near[i] @ ids) for i in ids}
+    least = dict(pivots.meet(df, df.filter("id % 7 = 3"), reach, where, "id long, least double", pivots.least_kernel).collect())
+    assert least == {int(i): float(min(j for j in ids[near[i]] if j % 7 == 3)) for i in ids if (near[i] & (ids % 7 == 3)).any()}
+    links = pivots.meet(df, df, reach, where, "src long, dst long", pivots.link_kernel).collect()
+    a, b = (np.array(c) for c in zip(*links))
+    i, j = np.nonzero(near)
+    assert np.array_equal(forest(len(x), a, b), forest(len(x), i, j))

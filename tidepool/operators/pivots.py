@@ -7,6 +7,8 @@ distance and the rings beside it, and meets all its neighbours there; one shuffl
 
 A ring with many rows is dealt to parts of ``block`` rows at home; visitors go to each part and stream past.  Each row is at home in one part
 only, so what is said about it needs no further aggregation, and no pairs are emitted.  Nothing but the pivots reaches the driver.
+
+Where the reach is so wide that most rows would visit most pivots, blocks of rows meet blocks of visitors instead (``operators.pairs``).
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import types as T
 
 from tidepool.operators.blocks import list_column, squared_distances, vector_matrix
 from tidepool.operators.components import forest
+from tidepool.operators.pairs import Reference, meet_all, within
 from tidepool.session import LIMITS, Limits, ship_package
 
 MOST_PIVOTS, BLOCK = 1024, 2048
+BLOCKS = 16  # visits of a row from which all blocks are sent to all blocks instead, see ``operators.pairs``
 PLACED = "cell int, ring long, visitor int, id long, x array<double>, value double"
 
 
@@ -35,6 +39,11 @@ class Pivots:
 
     centre: np.ndarray
     ring: float
+    visits: float = 0.0  # rings that a row visits, on average over the pivots
+
+    def exclude(self, blocks: int) -> bool:
+        """Whether rows visit fewer rings than there are blocks to send them to."""
+        return self.visits <= blocks
 
 
 def choose(rows: DataFrame, reach: float, *, x: str = "x", limits: Limits = LIMITS) -> Pivots | None:
@@ -46,7 +55,11 @@ def choose(rows: DataFrame, reach: float, *, x: str = "x", limits: Limits = LIMI
     fits = max(1, limits.block_bytes // (8 * told["d"]))
     drawn = rows.select(x).distinct().orderBy(F.xxhash64(x), x).limit(min(MOST_PIVOTS, fits, math.ceil(math.sqrt(told["n"]))))
     centre = np.array([r[0] for r in drawn.collect()])
-    return Pivots(centre, reach * (1 + 1e-9) + 1e-7 * math.sqrt(told["d"]) * (told["far"] or 0.0))
+    ring = reach * (1 + 1e-9) + 1e-7 * math.sqrt(told["d"]) * (told["far"] or 0.0)
+    gap = np.sqrt(squared_distances(centre, centre))
+    np.fill_diagonal(gap, np.inf)  # a pivot as any other row
+    visits = 3.0 * (gap <= gap.min(axis=1, keepdims=True) + 2 * ring).sum(axis=1).mean() if len(centre) > 1 else 3.0
+    return Pivots(centre, ring, visits)
 
 
 def _place(rows: DataFrame, pivots: Pivots, visitor: bool) -> DataFrame:
@@ -88,6 +101,8 @@ def meet(home: DataFrame, visitors: DataFrame, reach: float, pivots: Pivots, res
     who is within reach of some visitors, and ``done()``; both return lists of columns of ``result`` or None.
     """
     ship_package(home.sparkSession)
+    if not pivots.exclude(BLOCKS):
+        return _meet_in_blocks(home, visitors, reach, result, kernel, strict)
     at_home = _place(home, pivots, False)
     rings = (at_home.groupBy("cell", "ring").agg(F.count("*").alias("rows"))
              .select("cell", "ring", F.ceil(F.col("rows") / block).cast("int").alias("parts")))
@@ -133,6 +148,30 @@ def meet(home: DataFrame, visitors: DataFrame, reach: float, pivots: Pivots, res
     return dealt.repartition("cell", "ring", "part").sortWithinPartitions("cell", "ring", "part", "visitor").mapInArrow(run, schema)
 
 
+def _meet_in_blocks(home, visitors, reach, result, kernel, strict):
+    """``meet`` where the pivots leave out little: blocks of rows meet blocks of visitors, and what blocks say about a row is put together."""
+
+    def block_kernel(ids, _, x, values):
+        reference, (see, done) = Reference(x), kernel(ids.to_numpy(), values)
+
+        def visit(theirs, _, there, worth):
+            theirs, step = theirs.to_numpy(), max(1, (1 << 21) // len(x))
+            for lo in range(0, len(there), step):
+                see(within(there[lo:lo + step], reference, reach * reach, strict), theirs[lo:lo + step], worth[lo:lo + step])
+
+        return visit, done
+
+    def sent(rows):
+        return rows.select("id", F.lit(None).cast("long").alias("key"), "x", F.col("value").cast("double").alias("value"))
+
+    parts = meet_all(sent(home), sent(visitors), result, block_kernel)
+    put = {mass_kernel: ("id", F.sum("mass").alias("mass")), least_kernel: ("id", F.min("least").alias("least"))}
+    if kernel not in put:
+        return parts
+    key, together = put[kernel]
+    return parts.groupBy(key).agg(together)
+
+
 def mass_kernel(ids, values):
     """(id, mass): what the visitors within reach weigh together."""
     mass = np.zeros(len(ids))
@@ -144,16 +183,29 @@ def mass_kernel(ids, values):
 
 
 def link_kernel(ids, values):
-    """(src, dst): links that connect what is within reach, at most one for a row and block of visitors."""
+    """(src, dst): links that connect what is within reach, at most one for a row and a visitor."""
+    kept, size = [], [0]
+
+    def tied():
+        a, b = (np.concatenate(c) for c in zip(*kept))
+        nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = forest(len(nodes), inv[:len(a)], inv[len(a):])
+        link = root != np.arange(len(nodes))
+        kept[:], size[0] = [(nodes[link], nodes[root[link]])], int(link.sum())
 
     def see(near, theirs, _):
         i, j = np.nonzero(near)
-        nodes, inv = np.unique(np.concatenate([ids[i], theirs[j]]), return_inverse=True)
-        root = forest(len(nodes), inv[:len(i)], inv[len(i):])
-        link = root != np.arange(len(nodes))
-        return [nodes[link], nodes[root[link]]] if link.any() else None
+        kept.append((ids[i], theirs[j]))
+        size[0] += len(i)
+        if size[0] > 4 * len(ids) + (1 << 20):
+            tied()
 
-    return see, lambda: None
+    def done():
+        if kept:
+            tied()
+        return list(kept[0]) if size[0] else None
+
+    return see, done
 
 
 def least_kernel(ids, values):
