@@ -203,3 +203,19 @@ def test_indexed_lookup_on_rows_and_in_the_fold(spark):
         sums = fold.fold_rows(pts, centres, limits=limits).groupBy("mc_id").agg(F.sum("n").alias("n"))
         rows.append((near, {r["mc_id"]: r["n"] for r in sums.collect()}))
     assert rows[0] == rows[1] == rows[2]
+
+
+def test_many_blocks_are_visited_in_one_pass(spark):
+    """A model of several blocks costs one Python worker a task, whatever their number; ids, ties and odd places as with one block."""
+    rng = np.random.default_rng(3)
+    c = np.round(rng.normal(size=(300, 2)), 1)
+    centres = spark.createDataFrame([(int(i), v.tolist(), float(i) / 2) for i, v in zip(rng.permutation(300), c)] + [(900, None, 1.0), (901, [float("nan"), 0.0], 1.0)],
+                                    "mc_id long, centre array<double>, size double")
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(200, 2)) * 2, 1))] + [(900, None), (901, [float("inf"), 0.0])],
+                                   "id long, x array<double>")
+    one = assign.assign_nearest(points, centres, carry=("size",))
+    many = assign.assign_nearest(points, centres, carry=("size",), limits=Limits(block_rows=40))
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    read = lambda df: {r["id"]: (r["mc_id"], r["dist"], r["size"] if r["mc_id"] >= 0 else None) for r in df.collect()}
+    assert read(one) == read(many)
