@@ -95,3 +95,39 @@ def test_the_closest_pairs_are_joined_first():
     n, ls, ss, lst, sst = np.ones(6), place.copy(), place ** 2, np.zeros(6), np.zeros(6)
     keep = record_fold.closest_joined(n, ls, ss, lst, sst, 3)
     assert n[keep].tolist() == [3, 2, 1] and ls[keep, 0].tolist() == [0, 10, 20]
+
+
+def test_a_record_touches_what_it_changes(spark, monkeypatch):
+    """Records that clusters take ask for no stamps and no gaps; the result is that of taking everything anew."""
+    import pandas as pd
+
+    from tidepool.operators.settle import Slots
+
+    rng = np.random.default_rng(2)
+    x, t = rng.normal(size=(400, 3)) * 2, np.arange(400.0)
+    c = rng.normal(size=(9, 3))
+    frame = pd.DataFrame({"mc_id": range(9), "n": 1.0, "ls": list(c), "ss": list(c * c), "lst": 0.0, "sst": 0.0, "ids": [[i] for i in range(9)]})
+
+    class Anew(record_fold.RecordSlots):
+        def _refresh(self, i):
+            super()._refresh(i)
+            for j in range(len(self.n)):
+                self.stamp[j] = self._stamp(j)
+            self.gaps, self.radii = None, {}
+
+        def _radius(self, i):
+            return Slots._radius(self, i)
+
+    for horizon in (60.0, 1e9):
+        pair = [kind(frame, 20, horizon, 1.5) for kind in (record_fold.RecordSlots, Anew)]
+        for slots in pair:
+            for place, when in zip(x, t):
+                slots.take(place, float(when))
+        for name in ("n", "ls", "ss", "lst", "sst"):
+            assert np.array_equal(*(getattr(s, name) for s in pair))
+        assert pair[0].ids == pair[1].ids
+    slots, asked = record_fold.RecordSlots(frame, 20, 1e9, 1.5), []
+    monkeypatch.setattr(slots, "_stamp", lambda i: asked.append(i))
+    for _ in range(20):
+        slots.take(c[0], 1.0)
+    assert not asked and slots.n[0] == 21

@@ -92,7 +92,8 @@ def clustream_records_sites(spark, sf):
     scale = F.pow(F.lit(4.0), F.col("l_linenumber"))
     batch = items(spark, sf).select(F.array(scale, -scale, scale / 2).alias("x"), (F.col("t") + 10_000).alias("t"))
     state = clustream.Clustering(clustream._model(assign.centres_of(tiles(spark, sf))))
-    model = clustream.record_step(state, batch.repartition(5), clustream.CluStreamParams(q=45, m=10 ** 9, horizon=5000.0)).model
+    tasks = max(5, spark.sparkContext.defaultParallelism)
+    model = clustream.record_step(state, batch.repartition(tasks), clustream.CluStreamParams(q=45, m=10 ** 9, horizon=5000.0)).model
     return model.select(r6("n", "n"), *[r6(F.col("ls")[j], f"ls{j}") for j in range(3)], r6("lst", "lst"), r6("sst", "sst")).filter("n > 1")
 
 

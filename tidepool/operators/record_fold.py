@@ -37,17 +37,60 @@ from tidepool.schema import CLUSTER_FEATURE
 from tidepool.session import LIMITS, Limits, cut_lineage, ship_package, width_of
 
 FEATURES = [f.name for f in CLUSTER_FEATURE]
+FEW = 7  # dimensions up to which plain numbers beat arrays
 CHANGE = T.StructType([T.StructField("task", T.LongType()), T.StructField("slot", T.LongType()),
                        T.StructField("origins", T.ArrayType(T.LongType())), *CLUSTER_FEATURE, T.StructField("t", T.DoubleType()),
                        T.StructField("met", T.LongType())])
 
 
 class RecordSlots(Slots):
-    """The model while records come in; ``ids`` holds the places of the clusters that went into a slot, ``more`` what records added."""
+    """The model while records come in; ``ids`` holds the places of the clusters that went into a slot, ``more`` what records added.
+
+    A record changes one or two slots: their centres at once, their stamps, radii and gaps when they are asked for.
+    """
 
     def __init__(self, pdf, m: float, horizon: float, factor: float):
         super().__init__(pdf, m, horizon, factor, -math.inf)
         self.more = [np.zeros_like(a) for a in (self.n, self.ls, self.ss, self.lst, self.sst)]
+        self.across = np.ascontiguousarray(self.centre.T)  # a row a dimension: differences of all centres at once
+        self.across[:, self.n == 0] = np.inf
+        self.radii: dict[int, float] = {}
+        self.late, self.moved = set(), set()  # slots whose stamp, whose gaps are to be taken anew
+
+    def _refresh(self, i):
+        self.centre[i] = self.ls[i] / max(self.n[i], 1e-300)
+        self.across[:, i] = self.centre[i] if self.n[i] != 0 else np.inf
+        self.radii.pop(i, None)
+        self.late.add(i)
+        self.moved.add(i)
+
+    def _radius(self, i):
+        if not self.n[i] > 1:  # the gap to the nearest other centre, wherever that has moved
+            return super()._radius(i)
+        if i not in self.radii:
+            n, ls, ss = float(self.n[i]), self.ls[i], self.ss[i]
+            if len(ls) > FEW:
+                self.radii[i] = super()._radius(i)
+            else:  # the sums of ``spread``, without arrays
+                var = [s / n - (v / n) * (v / n) for v, s in zip(ls.tolist(), ss.tolist())]
+                self.radii[i] = self.factor * math.sqrt(sum(v if v > 1e-50 or v != v else 1e-50 for v in var))
+        return self.radii[i]
+
+    def _stale(self):
+        for i in self.late:
+            self.stamp[i] = self._stamp(i)
+        self.late.clear()
+        return super()._stale()
+
+    def _closest(self):
+        if self.gaps is not None:
+            for i in self.moved:
+                row = np.sqrt(squared_distances(self.centre[i:i + 1], self.centre)[0])
+                row[self.n == 0] = np.inf
+                row[i] = np.inf
+                self.gaps[i, :] = self.gaps[:, i] = row
+        self.moved.clear()
+        return super()._closest()
 
     def _record(self, slot: int, row) -> None:
         self._add(slot, *row)
@@ -55,12 +98,13 @@ class RecordSlots(Slots):
             sums[slot] += value
 
     def take(self, x: np.ndarray, t: float) -> None:
-        row = (1.0, x, x * x, t, t * t)
         self.now = max(self.now, t)
-        d2 = squared_distances(x[None, :], self.centre)[0]
-        d2[self.n == 0] = np.inf
-        near = int(np.argmin(d2))
-        if np.isfinite(d2[near]) and math.sqrt(d2[near]) <= self._radius(near):
+        apart = self.across - x[:, None]
+        apart *= apart
+        d2 = apart.sum(axis=0)
+        near = int(d2.argmin())
+        row = (1.0, x, x * x, t, t * t)
+        if math.isfinite(d2[near]) and math.sqrt(d2[near]) <= self._radius(near):
             self._record(near, row)
             return
         slot = self._stale()
